@@ -3,6 +3,14 @@
 from __future__ import annotations
 
 from .bpe import op8_bpe
+from .decontaminate import op5_decontaminate
+from .language import op10_language
+from .simhash import op6_simhash
 
-QUERIES = {"op8_bpe": op8_bpe}
+QUERIES = {
+    "op5_decontaminate": op5_decontaminate,
+    "op6_simhash": op6_simhash,
+    "op8_bpe": op8_bpe,
+    "op10_language": op10_language,
+}
 ORACLE_SQL: dict[str, str] = {}
