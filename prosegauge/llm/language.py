@@ -28,7 +28,7 @@ from .common import slices, table, utf8
 ORDER = 4
 #: Bound of the sample: documents of each language, and bytes of a sampled document. Half of them fit, half calibrate.
 SAMPLE_DOCS, SAMPLE_BYTES = 800, 1 << 16
-REJECT = 8.0
+REJECT = 12.0
 #: Turns differences of cross-entropy (nats for each character) into odds.
 SHARPNESS = 12.0
 DISCOUNT = 0.75
@@ -192,7 +192,7 @@ class Model:
             if len(h):
                 self.mean[l] = np.average(h, weights=n)
                 scaled = np.sqrt(np.average((h - self.mean[l]) ** 2 * n, weights=None)) if len(h) > 1 else 1.0
-                self.spread[l] = max(float(np.std(h[n >= np.median(n)])), 0.05), max(scaled, 1.0)
+                self.spread[l] = max(float(np.std(h[n >= np.median(n)])), 0.1), max(scaled, 1.0)
             else:
                 self.mean[l], self.spread[l] = -self.floor, (1.0, 1.0)
 

@@ -5,12 +5,18 @@ from __future__ import annotations
 from .bpe import op8_bpe
 from .decontaminate import op5_decontaminate
 from .language import op10_language
+from .lm import op9_lm
 from .simhash import op6_simhash
+from .urls import op4_urls
+from .winnow import op3_winnow
 
 QUERIES = {
+    "op3_winnow": op3_winnow,
+    "op4_urls": op4_urls,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
     "op8_bpe": op8_bpe,
+    "op9_lm": op9_lm,
     "op10_language": op10_language,
 }
 ORACLE_SQL: dict[str, str] = {}
