@@ -7,10 +7,12 @@ from .decontaminate import op5_decontaminate
 from .language import op10_language
 from .lm import op9_lm
 from .simhash import op6_simhash
+from .suffix_dedup import op1_suffix_dedup
 from .urls import op4_urls
 from .winnow import op3_winnow
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op3_winnow": op3_winnow,
     "op4_urls": op4_urls,
     "op5_decontaminate": op5_decontaminate,
