@@ -29,9 +29,11 @@ from pyspark.sql import functions as F
 
 from .common import LOWER, NON_SPACE, RangeHash, mixed, partitions, slices, stored, table, utf8, words
 
-BATCH_BYTES = 16 << 20
-FILTER_BYTES = 192 << 20
+BATCH_BYTES = 8 << 20
+FILTER_BYTES = 128 << 20
 BITS, PROBES = 12, 4
+#: Tokens that a reader scores at a time.
+STEP = 1 << 18
 MIX = 0.25
 END = np.uint64(0x5851F42D4C957F2D)
 _K = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -219,19 +221,21 @@ def _score(shared, buckets: int, start: int, stop: int, n: int, v: int, mix: flo
                 count[order] = np.concatenate([np.frombuffer(pa.decompress(x["totals"], 8 * int(asked[x["bucket"]]), codec="zstd", asbytes=True), "<i8") for x in r["answers"]])
                 share = (count + 0.1) / (n + 0.1 * (v + 1))
                 first = np.cumsum(sizes) - sizes
-                h = vocabulary[tokens]
-                g, before = _bigrams(h, sizes)
+                g, before = _bigrams(vocabulary[tokens], sizes)
                 b = bucket_of(g, buckets)
                 mine = np.flatnonzero((b >= start) & (b < stop))
+                del b
                 ended = int(count[vocabulary == END].sum())
-                head = before[mine]
-                context = np.where(head < 0, ended, count[tokens[head]])
-                p = share[tokens[mine]]
-                known = context > 0
-                seen = np.minimum(shared.value.counts(g[mine[known]]), context[known])
-                p[known] = mix * seen / context[known] + (1 - mix) * p[known]
                 part = np.zeros(len(tokens))
-                part[mine] = np.log10(p)
+                for at in (mine[i : i + STEP] for i in range(0, len(mine), STEP)):
+                    head = before[at]
+                    context = np.where(head < 0, ended, count[tokens[head]])
+                    p = share[tokens[at]]
+                    known = context > 0
+                    seen = np.minimum(shared.value.counts(g[at[known]]), context[known])
+                    p[known] = mix * seen / context[known] + (1 - mix) * p[known]
+                    part[at] = np.log10(p)
+                del g, before, mine
                 add = lambda x: np.add.reduceat(x, first)
                 base, hits = (np.log10(share)[tokens], (count > 0)[tokens].astype(np.int64)) if start == 0 else (np.zeros(len(tokens)), np.zeros(len(tokens), np.int64))
                 k = len(sizes)
