@@ -7,6 +7,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from . import lexicon as L
 from .dialect import strip
@@ -40,7 +41,7 @@ def keep_positive(text: str) -> str:
     return text
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def not_but(text: pd.Series) -> pd.Series:
     return text.map(lambda t: t if t is None else keep_positive(t))
 
