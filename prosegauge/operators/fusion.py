@@ -52,7 +52,7 @@ def segments(scores: DataFrame, stats: DataFrame) -> DataFrame:
     stat = stats.select("doc_id", "paragraph_index", "text", F.lit(None).cast("double").alias("score"), F.lit(None).cast(scores.schema["hits"].dataType).alias("hits"), "anomalies")
     both = rule.unionByName(stat).groupBy("doc_id", "paragraph_index").agg(F.max("text").alias("text"), F.max("score").alias("rule_score"), F.first("hits", ignorenulls=True).alias("hits"), F.first("anomalies", ignorenulls=True).alias("anomalies"))
     total = F.aggregate("anomalies", F.lit(0.0), lambda a, x: a + x["score"])
-    both = both.withColumn("stat_score", F.least(F.lit(STAT_CAP), total / F.size("anomalies")))
+    both = both.withColumn("stat_score", F.when(F.col("anomalies").isNotNull(), F.least(F.lit(STAT_CAP), total / F.size("anomalies"))))  # least() skips nulls
     both = both.withColumn("risk_score", rounded(F.greatest("rule_score", "stat_score"), 4))
     top = F.coalesce(F.slice("hits", 1, TOP_HITS), F.array().cast(scores.schema["hits"].dataType))
     found = F.coalesce("anomalies", F.array().cast(stats.schema["anomalies"].dataType))
