@@ -5,7 +5,7 @@ the leftmost position; a merge changes at most three leaves, each in logarithmic
 
 The file is the public ``word_bpe_49k.json``: NFC, white space collapsed, lower case, words by pattern, bytes as printable
 characters, ``</w>`` at word ends. White space parts all words, so what stands between white space is encoded once and kept in
-a bounded table of each worker; texts are never cut.
+bounded tables of each worker; texts are never cut.
 
 Cases: a null or empty text (or one of white space only) has no tokens and an empty decoded text; very long words take
 O(n log n); repeated rows are encoded each; the strings of special tokens give their ids, as in the library; extra columns
@@ -24,15 +24,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import arrow_column, table
 
 #: Code points that str.split() parts at but the library's \s doesn't.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = re.compile(f"[{SPACE}]+")
-#: Chunks and words that a worker keeps; beyond that the table is emptied. Longer ones are never kept.
-KEPT, KEPT_CHARS = 600_000, 48
+#: Chunks and words that a worker keeps in each of two generations, and the longest that it keeps.
+KEPT, KEPT_CHARS = 150_000, 48
 INF = 1 << 62
+#: Children of a node of the segment tree.
+WIDE = 24
 
 
 def category_ranges(major: str) -> str:
@@ -75,64 +77,63 @@ class Vocabulary:
         self.suffix = model["end_of_word_suffix"]
         self.tokens = {i: t for t, i in ids.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        self.pairs: dict[int, tuple[int, int]] = {}
+        self.pairs: dict[int, int] = {}
+        self.made: list[int] = []
         for rank, pair in enumerate(model["merges"]):
             a, b = pair if isinstance(pair, list) else pair.split(" ")
-            self.pairs.setdefault(ids[a] << 20 | ids[b], (rank, ids[a + b]))
+            self.pairs.setdefault(ids[a] << 20 | ids[b], rank)
+            self.made.append(ids[a + b])
         letters = byte_letters()
         self.inner = [ids[c] for c in letters]
         self.last = [ids[c + self.suffix] for c in letters]
 
 
-def merge(ids: list[int], pairs: dict[int, tuple[int, int]]) -> list[int]:
-    """Merge the leftmost pair of lowest rank, again and again, by a segment tree over rank << 32 | position."""
+def merge(ids: list[int], pairs: dict[int, int], made: list[int]) -> list[int]:
+    """Merge the leftmost pair of lowest rank, again and again, by a segment tree over rank << 32 | position.
+
+    A node has WIDE children, as min() of a short list is quicker than a path of two-way choices; most words are one node.
+    """
     n = len(ids)
     if n < 2:
         return ids
-    size = 1
-    while size < n - 1:
-        size *= 2
-    tree = [INF] * (2 * size)
     get = pairs.get
-    for i in range(n - 1):
-        if (p := get(ids[i] << 20 | ids[i + 1])) is not None:
-            tree[size + i] = p[0] << 32 | i
-    for k in range(size - 1, 0, -1):
-        a, b = tree[2 * k], tree[2 * k + 1]
-        tree[k] = a if a < b else b
+    leaves = [INF if (r := get(a << 20 | b)) is None else r << 32 | i for i, (a, b) in enumerate(zip(ids, ids[1:]))]
+    levels = [leaves]
+    while len(levels[-1]) > WIDE:
+        below = levels[-1]
+        levels.append([min(below[i : i + WIDE]) for i in range(0, len(below), WIDE)])
+    top, deep = levels[-1], len(levels) > 1
+    root = min(top)
+    if root == INF:
+        return ids
     after = list(range(1, n + 1))
     before = list(range(-1, n - 1))
-    while (root := tree[1]) < INF:
+    while root < INF:
         i = root & 0xFFFFFFFF
         j = after[i]
-        ids[i] = get(ids[i] << 20 | ids[j])[1]
+        x = ids[i] = made[root >> 32]
         ids[j] = -1
         k = after[i] = after[j]
-        leaves = [(i, INF)]
-        if j < n - 1:
-            leaves.append((j, INF))
+        h = before[i]
+        leaves[i] = INF
         if k < n:
             before[k] = i
-            if (p := get(ids[i] << 20 | ids[k])) is not None:
-                leaves[0] = (i, p[0] << 32 | i)
-        h = before[i]
+            leaves[j] = INF  # the pair that the right part began
+            if (r := get(x << 20 | ids[k])) is not None:
+                leaves[i] = r << 32 | i
         if h >= 0:
-            p = get(ids[h] << 20 | ids[i])
-            leaves.append((h, p[0] << 32 | h if p is not None else INF))
-        for at, value in leaves:
-            at += size
-            if tree[at] == value:
-                continue
-            tree[at] = value
-            at >>= 1
-            while at:
-                a, b = tree[2 * at], tree[2 * at + 1]
-                if b < a:
-                    a = b
-                if tree[at] == a:
-                    break
-                tree[at] = a
-                at >>= 1
+            leaves[h] = INF if (r := get(ids[h] << 20 | x)) is None else r << 32 | h
+        if deep:
+            for at in (i, j, h):
+                for below, level in zip(levels, levels[1:]):
+                    if at < 0 or at >= len(below):
+                        break
+                    at //= WIDE
+                    least = min(below[at * WIDE : at * WIDE + WIDE])
+                    if level[at] == least:
+                        break
+                    level[at] = least
+        root = min(top)
     return [x for x in ids if x >= 0]
 
 
@@ -143,39 +144,52 @@ class Encoder:
         self.v, self.kept = vocabulary, kept
         self.find = word_pattern().findall
         self.parts = re.compile("(" + "|".join(map(re.escape, vocabulary.special)) + ")") if vocabulary.special else None
+        self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
         self.chunks: dict[str, tuple[str, str]] = {}
+        self.old_chunks: dict[str, tuple[str, str]] = {}
         self.words: dict[str, list[int]] = {}
+        self.old_words: dict[str, list[int]] = {}
 
     def word(self, word: str) -> list[int]:
         if (ids := self.words.get(word)) is not None:
             return ids
-        raw = word.encode("utf-8", "surrogatepass")
-        inner = self.v.inner
-        ids = [inner[b] for b in raw[:-1]]
-        ids.append(self.v.last[raw[-1]])
-        ids = merge(ids, self.v.pairs)
+        if (ids := self.old_words.get(word)) is None:
+            raw = word.encode("utf-8", "surrogatepass")
+            inner = self.v.inner
+            ids = [inner[b] for b in raw]
+            ids[-1] = self.v.last[raw[-1]]
+            ids = merge(ids, self.v.pairs, self.v.made)
         if len(word) <= KEPT_CHARS:
             if len(self.words) >= self.kept:
-                self.words.clear()
+                self.old_words, self.words = self.words, {}
             self.words[word] = ids
         return ids
 
     def chunk(self, chunk: str) -> tuple[str, str]:
         """The ids and the tokens of what stands between white space, each joined by one space."""
-        low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # the library lowers each character by itself
-        ids = [i for w in self.find(low) for i in self.word(w)]
-        tokens = self.v.tokens
-        out = " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
+        if (out := self.old_chunks.get(chunk)) is None:
+            if chunk.isascii():
+                low = chunk.lower()
+                ids = self.word(low) if low.isalpha() else [i for w in self.ascii(low) for i in self.word(w)]
+            else:
+                low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # the library lowers each character by itself
+                ids = [i for w in self.find(low) for i in self.word(w)]
+            tokens = self.v.tokens
+            out = " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
         if len(chunk) <= KEPT_CHARS:
             if len(self.chunks) >= self.kept:
-                self.chunks.clear()
+                self.old_chunks, self.chunks = self.chunks, {}
             self.chunks[chunk] = out
         return out
 
     def plain(self, text: str) -> list[tuple[str, str]]:
         odd = any(c in text for c in ODD_SPACE)
-        get, made = self.chunks.get, self.chunk
-        return [get(c) or made(c) for c in ((x for x in WHITE.split(text) if x) if odd else text.split())]
+        made, out = self.chunk, []
+        pieces = [x for x in WHITE.split(text) if x] if odd else text.split()
+        for at in range(0, len(pieces), 4096):  # the young table may be another one after a miss
+            get = self.chunks.get
+            out += [get(c) or made(c) for c in pieces[at : at + 4096]]
+        return out
 
     def __call__(self, text: str) -> tuple[str, str]:
         if self.parts is not None and "<|" in text:
@@ -222,6 +236,21 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
     return out.withColumnRenamed("key", key)
 
 
+def with_tokens(docs: DataFrame, vocabulary: str, text: str = "text", into: str = "bpe") -> DataFrame:
+    """All columns of docs, and a struct of n_tokens, ids_text and decoded."""
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encode = None
+        for column in batches:
+            encode = encode or Encoder(Vocabulary(shared.value))
+            both = [encode(t or "") for t in column.to_pylist()]
+            cols = [a.count(" ") + 1 if a else 0 for a, _ in both], [a for a, _ in both], [b for _, b in both]
+            yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string()))], names=["n_tokens", "ids_text", "decoded"])
+
+    return docs.withColumn(into, arrow_column(run, "struct<n_tokens:bigint,ids_text:string,decoded:string>")(F.col(text)))
+
+
 def default_path() -> str:
     import public_tokenizers
 
