@@ -35,6 +35,26 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of input for each task that writes, and the fewest such tasks.
+WRITE_BYTES, FEWEST_WRITERS = 8 << 20, 12
+
+
+def gathered(df: DataFrame, source: DataFrame) -> DataFrame:
+    """df in no more partitions than the size of its source asks for, so that small inputs aren't written as many tiny files."""
+    size = int(source._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.coalesce(min(max(FEWEST_WRITERS, -(-size // WRITE_BYTES)), 1 << 30))
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names like these that df has no column of."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = "_" + name
+        out.append(name)
+    return out
+
+
 def partitions(spark: SparkSession) -> int:
     """The number of shuffle partitions, by which bucket counts follow the cluster's setting."""
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
@@ -141,6 +161,15 @@ class RangeHash:
         return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F), 7 + self.which)
 
 
+def arrow_column(run, schema: str, columns: int = 1):
+    """A vectorised column function from an iterator over batches of Arrow arrays (tuples of them for more columns)."""
+    from pyspark.sql.functions import arrow_udf
+
+    taken = Iterator[pa.Array] if columns == 1 else Iterator[tuple[(pa.Array,) * columns]]
+    run.__annotations__ = {"batches": taken, "return": Iterator[pa.Array]}
+    return arrow_udf(run, schema).asNondeterministic()  # else the optimizer may run it again for a filter
+
+
 def binary(arrays: list[np.ndarray | bytes]) -> pa.Array:
     return pa.array([x if isinstance(x, bytes) else x.tobytes() for x in arrays], pa.binary())
 

@@ -17,12 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, table
+from .common import gathered, partitions, table
 
 GRAM, WINDOW = 5, 6
 _POSITIONS = (1 << 24) - 1
 #: Most splitters, and the size of a coarse step among them.
 MOST_BUCKETS, STEP = 4096, 64
+#: Buckets for each shuffle partition: buckets fall to partitions by hash, so several even out.
+SPREAD = 6
 
 
 def entries(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
@@ -77,7 +79,7 @@ def with_next(docs: DataFrame, prepare, key: str = "doc_id", text: str = "text")
     """
     spark = docs.sparkSession
     given = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = min(partitions(spark), MOST_BUCKETS)
+    n = min(SPREAD * partitions(spark), MOST_BUCKETS)
     found = given.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 40 * n)).first()[0] if n > 1 else None
     splitters = sorted(set(found or []))
     bucket = _bucket(F.col("key"), splitters)
@@ -85,7 +87,8 @@ def with_next(docs: DataFrame, prepare, key: str = "doc_id", text: str = "text")
     after = [(b, heads[i - 1][1]) for i, (b, _) in enumerate(heads)]
     rows = given.select(bucket.alias("bucket"), F.lit(0).alias("extra"), "key", "text")
     if after:
-        lead = spark.createDataFrame(after, "bucket int, first bigint")  # a row for each bucket
+        pairs = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(x).cast("bigint").alias("first")) for b, x in after])
+        lead = spark.range(1, numPartitions=1).select(F.inline(pairs))  # a row for each bucket
         extra = given.join(F.broadcast(lead), F.col("key").eqNullSafe(F.col("first"))).select("bucket", F.lit(1).alias("extra"), "key", "text")
         rows = rows.union(extra)
     dealt = rows.repartition(partitions(spark), "bucket")
@@ -102,4 +105,5 @@ def op3_winnow(spark: SparkSession, sf_dir: str) -> DataFrame:
     edited = docs.select("doc_id", "n_chars", "own", F.col("next.own").alias("other"), F.concat(F.substr("text", F.lit(1), F.col("n_chars").cast("int") - half), F.substr(F.col("next.text"), F.lit(1), half)).alias("edited"))
     marked = edited.select("doc_id", "n_chars", "own", "other", F.sha2("edited", 256).alias("edited_sha256"), entries(F.col("edited")).alias("new"))
     near = lambda x: _let(hashes(F.col("own")), lambda a: likeness(a, hashes(F.col(x))))
-    return marked.select("doc_id", "n_chars", "edited_sha256", shown(F.col("own")).alias("fingerprint"), shown(F.col("new")).alias("edited_fingerprint"), near("new").alias("near_edited"), near("other").alias("near_next"))
+    out = marked.select("doc_id", "n_chars", "edited_sha256", shown(F.col("own")).alias("fingerprint"), shown(F.col("new")).alias("edited_fingerprint"), near("new").alias("near_edited"), near("other").alias("near_next"))
+    return gathered(out, table(spark, sf_dir, "documents"))
