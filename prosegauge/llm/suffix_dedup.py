@@ -32,7 +32,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, mixed, partitions, slices, spans_union, stored, table, utf8
+from .common import RangeHash, arrow_column, fresh, gathered, mixed, partitions, slices, spans_union, stored, table, utf8
 
 LENGTH, KGRAM = 100, 32
 BATCH_BYTES = 16 << 20
@@ -90,8 +90,8 @@ def unpack(raw: bytes, n: int) -> list[np.ndarray]:
     return out
 
 
-#: What goes to the buckets: packed anchors, or spans that a batch has settled.
-SENT = "bucket int, n bigint, packed binary, doc bigint, mark bigint, start bigint, stop bigint"
+#: What goes to the buckets: n packed anchors, or (n below zero) packed spans that a batch has settled.
+SENT = "bucket int, n bigint, packed binary"
 #: Settled spans (kind 0: start, stop) and open anchors (kind 1: the anchor's place, offsets lo and hi).
 FOUND = "kind int, doc bigint, mark bigint, start bigint, stop bigint, lo int, hi int"
 
@@ -139,9 +139,9 @@ def _find(buckets: int, length: int, k: int):
         order = np.argsort(b, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(b[order])) + 1):
             if len(part):
-                yield _sent(int(b[part[0]]), len(part), pack([x[part] for x in cols]), None)
+                yield _sent(int(b[part[0]]), len(part), pack([x[part] for x in cols]))
         if len(spans[0]):
-            yield _sent(int(spans[0][0]) % buckets, 0, None, spans)
+            yield _sent(int(spans[0][0]) % buckets, -len(spans[0]), pa.compress(np.stack(spans).astype("<i8").tobytes(), codec="zstd", asbytes=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, size = [], 0
@@ -162,10 +162,8 @@ def _find(buckets: int, length: int, k: int):
     return run
 
 
-def _sent(bucket: int, n: int, packed: bytes | None, spans: list[np.ndarray] | None) -> pa.RecordBatch:
-    m = len(spans[0]) if spans else 1
-    four = [pa.array(x, pa.int64()) for x in spans] if spans else [pa.nulls(1, pa.int64())] * 4
-    return pa.RecordBatch.from_arrays([pa.array([bucket] * m, pa.int32()), pa.array([n] * m, pa.int64()), pa.array([packed] * m, pa.binary()), *four], names=["bucket", "n", "packed", "doc", "mark", "start", "stop"])
+def _sent(bucket: int, n: int, packed: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([n], pa.int64()), pa.array([packed], pa.binary())], names=["bucket", "n", "packed"])
 
 
 def _found(kind: int, doc, mark, start, stop, lo=None, hi=None) -> pa.Table:
@@ -179,9 +177,9 @@ def _compare(length: int):
         """Settled spans and open anchors of a bucket."""
         out = []
         here = group.filter(pa.compute.greater(group.column("n"), 0))
-        spans = group.filter(pa.compute.equal(group.column("n"), 0))
-        if spans.num_rows:
-            out.append(_found(0, *(spans.column(c).to_numpy() for c in ("doc", "mark", "start", "stop"))))
+        spans = group.filter(pa.compute.less(group.column("n"), 0))
+        for raw, n in zip(spans.column("packed").to_pylist(), spans.column("n").to_pylist()):
+            out.append(_found(0, *np.frombuffer(pa.decompress(raw, -32 * n, codec="zstd", asbytes=True), "<i8").reshape(4, -n)))
         if here.num_rows:
             cols = [unpack(p, n) for p, n in zip(here.column("packed").to_pylist(), here.column("n").to_pylist())]
             grams = np.concatenate([x[0] for x in cols])
@@ -244,11 +242,11 @@ def _matrix(column: list[bytes], width: int) -> np.ndarray:
     return np.frombuffer(b"".join(x.ljust(width, b"\0") for x in column), np.uint8).reshape(len(column), width)
 
 
-#: Settled spans (digest null) and strings at a bucket's ends.
-SORTED = "doc bigint, mark bigint, start bigint, stop bigint, digest binary"
+#: Settled spans, and n packed strings of a bucket's ends (digest, document, mark, start) for a bucket of digests.
+SORTED = "doc bigint, mark bigint, start bigint, stop bigint, bucket int, n bigint, packed binary"
 
 
-def _sort(length: int, k: int):
+def _sort(length: int, k: int, buckets: int):
     wide, back = -(-length // 8) * 8, -(-(length - k) // 8) * 8
 
     def bucket(t: pa.Table) -> Iterator[pa.RecordBatch]:
@@ -276,17 +274,26 @@ def _sort(length: int, k: int):
             _, head, which = np.unique(key, return_index=True, return_inverse=True)
             first = rows[head[which]]
             gone[rows, o] = (doc[rows] != doc[first]) | (mark[rows] != mark[first]) | (anchor[rows] != anchor[first])
-            edge = rows[(group[rows] == 0) | (group[rows] == group[-1])]
+            edge = rows[head]  # all but the first place of a string are settled here
+            edge = edge[(group[edge] == 0) | (group[edge] == group[-1])]
             if len(edge):
                 ends.append((o, edge))
         # runs of offsets are runs of starts: the string at offset o starts at anchor - o
         step = np.diff(np.concatenate([np.zeros((m, 1), np.int8), gone.astype(np.int8)], axis=1), axis=1)
         r, a = np.nonzero(step == 1)
         r2, b = np.nonzero(step == -1)
-        yield _rows(*_merged(doc[r], mark[r], anchor[r] - (b - 1), anchor[r] - a + length), [None] * 0)
-        for o, rows in ends:
-            digests = [hashlib.blake2b(before[i, :o][::-1].tobytes() + after[i, : length - o].tobytes(), digest_size=16).digest() for i in rows]
-            yield _rows(doc[rows], mark[rows], anchor[rows] - o, anchor[rows] - o + length, digests)
+        spans = _merged(doc[r], mark[r], anchor[r] - (b - 1), anchor[r] - a + length)
+        yield _sorted(spans, [], [], [])
+        if not ends:
+            return
+        places = np.concatenate([np.stack([doc[rows], mark[rows], anchor[rows] - o], 1) for o, rows in ends])
+        digests = b"".join(hashlib.blake2b(before[i, :o][::-1].tobytes() + after[i, : length - o].tobytes(), digest_size=16).digest() for o, rows in ends for i in rows)
+        digests = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        to = (((digests[:, 0] >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+        order = np.argsort(to, kind="stable")
+        parts = np.split(order, np.flatnonzero(np.diff(to[order])) + 1)
+        packed = [pa.compress(np.concatenate([digests[x].view(np.int64), places[x]], axis=1).astype("<i8").tobytes(), codec="zstd", asbytes=True) for x in parts]
+        yield _sorted([np.zeros(0, np.int64)] * 4, [int(to[x[0]]) for x in parts], [len(x) for x in parts], packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if b.num_rows]
@@ -296,9 +303,26 @@ def _sort(length: int, k: int):
     return run
 
 
-def _rows(doc, mark, start, stop, digests) -> pa.RecordBatch:
-    four = [pa.array(x, pa.int64()) for x in (doc, mark, start, stop)]
-    return pa.RecordBatch.from_arrays([*four, pa.array(digests or [None] * len(doc), pa.binary())], names=["doc", "mark", "start", "stop", "digest"])
+def _sorted(spans: list[np.ndarray], buckets: list[int], sizes: list[int], packed: list[bytes]) -> pa.RecordBatch:
+    n, m = len(spans[0]), len(packed)
+    four = [pa.array([*x.tolist(), *[None] * m], pa.int64()) for x in spans]
+    rest = (buckets, pa.int32()), (sizes, pa.int64()), (packed, pa.binary())
+    return pa.RecordBatch.from_arrays([*four, *(pa.array([None] * n + x, t) for x, t in rest)], names=["doc", "mark", "start", "stop", "bucket", "n", "packed"])
+
+
+def _ends(length: int):
+    def run(group: pa.Table) -> pa.Table:
+        """Spans of all but the least place of each string of a bucket of digests."""
+        raw = [np.frombuffer(pa.decompress(p, 40 * n, codec="zstd", asbytes=True), "<i8").reshape(n, 5) for p, n in zip(group.column("packed").to_pylist(), group.column("n").to_pylist())]
+        one, two, doc, mark, start = np.concatenate(raw).T
+        order = np.lexsort((start, mark, doc, two, one))
+        new = np.append(True, (np.diff(one[order]) != 0) | (np.diff(two[order]) != 0))
+        head = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+        later = order[(doc[order] != doc[head]) | (mark[order] != mark[head]) | (start[order] != start[head])]
+        spans = _merged(doc[later], mark[later], start[later], start[later] + length)
+        return pa.table({n: pa.array(x, pa.int64()) for n, x in zip(("doc", "mark", "start", "stop"), spans)})
+
+    return run
 
 
 def release(spark: SparkSession) -> None:
@@ -317,23 +341,22 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     n = partitions(spark)
     given = _keyed(docs, key, text)
     sent = given.mapInArrow(_find(n, length, k), SENT)
-    found = stored(sent.groupBy("bucket").applyInArrow(_compare(length), FOUND), "suffix-found")
+    found = stored(gathered(sent.groupBy("bucket").applyInArrow(_compare(length), FOUND), docs), "suffix-found")
     release(spark)
 
     open_ = found.where("kind = 1").groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "lo", "hi")).alias("open"))
     picked = given.join(open_.hint("shuffle_hash"), ["doc", "mark"])
-    suffixes = stored(picked.mapInArrow(_suffixes(length), "doc bigint, mark bigint, anchor bigint, lo int, hi int, after binary, before binary"), "suffix-open")
+    records = picked.mapInArrow(_suffixes(length), "doc bigint, mark bigint, anchor bigint, lo int, hi int, after binary, before binary")
+    suffixes = stored(gathered(records, docs), "suffix-open")
     release(spark)
 
     ranged = suffixes.repartitionByRange(n, "after", "before")
-    settled = stored(ranged.mapInArrow(_sort(length, k), SORTED), "suffix-sorted")
+    settled = stored(gathered(ranged.mapInArrow(_sort(length, k, n), SORTED), docs), "suffix-sorted")
     release(spark)
 
-    place = F.struct("doc", "mark", "start")
-    ends = settled.where("digest IS NOT NULL").select("digest", place.alias("place"))
-    first = ends.groupBy("digest").agg(F.min("place").alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    later = ends.join(first, "digest").where("place > first").select("place.doc", "place.mark", "place.start", (F.col("place.start") + length).alias("stop"))
-    spans = found.where("kind = 0").select("doc", "mark", "start", "stop").union(settled.where("digest IS NULL").select("doc", "mark", "start", "stop")).union(later)
+    four = "doc bigint, mark bigint, start bigint, stop bigint"
+    later = settled.where("n IS NOT NULL").select("bucket", "n", "packed").groupBy("bucket").applyInArrow(_ends(length), four)
+    spans = found.where("kind = 0").select("doc", "mark", "start", "stop").union(settled.where("n IS NULL").select("doc", "mark", "start", "stop")).union(later)
     return spans.groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
 
 
@@ -366,7 +389,33 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     given = _keyed(given, "__key", "__text", "__key")
     joined = given.join(spans.hint("shuffle_hash"), ["doc", "mark"], "left").select(F.col("__key").alias("key"), "text", "spans")
     out = joined.mapInArrow(_cut, f"key {kind}, n_bytes bigint, removed array<struct<start:bigint,stop:bigint>>, kept binary")
-    return out.withColumnRenamed("key", key)
+    return gathered(out.withColumnRenamed("key", key), docs)
+
+
+def _text(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    for text, spans in batches:
+        kept, removed = [], []
+        for t, given in zip(text.to_pylist(), spans.to_pylist()):
+            if not given:
+                kept.append(t)
+                removed.append(0)
+                continue
+            raw = t.encode("utf-8", "surrogatepass")
+            s, e = spans_union(np.array([x["start"] for x in given], np.int64), np.array([x["stop"] for x in given], np.int64))
+            edges = np.stack([np.append(0, e), np.append(s, len(raw))], 1).tolist()
+            kept.append(b"".join(raw[a:b] for a, b in edges).decode("utf-8", "ignore"))
+            removed.append(int((e - s).sum()))
+        yield pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(removed, pa.int64())], names=["kept", "n_removed"])
+
+
+def kept_text(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = KGRAM) -> DataFrame:
+    """All columns of docs, and a struct __kept of the text without its repeated passages (cut characters go too) and n_removed."""
+    doc, mark, found = fresh(docs, "__doc", "__mark", "__spans")
+    spans = repeated_spans(docs, key, text, length, k).select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("spans").alias(found))
+    rows = docs.withColumn(doc, F.coalesce(F.col(key).cast("bigint"), F.lit(LAST))).withColumn(mark, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    joined = rows.join(spans.hint("shuffle_hash"), [doc, mark], "left")
+    cut = arrow_column(_text, "struct<kept:string,n_removed:bigint>", 2)(F.col(text), F.col(found))
+    return gathered(joined.withColumn("__kept", cut).drop(doc, mark, found), docs)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
