@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import slices, table, utf8
+from .common import arrow_column, slices, table, utf8
 
 ORDER = 4
 #: Bound of the sample: documents of each language, and bytes of a sampled document. Half of them fit, half calibrate.
@@ -123,6 +123,8 @@ class Model:
 
     def __init__(self, samples: dict[str, list[str]], order: int = ORDER, discount: float = DISCOUNT):
         self.order, self.langs = order, sorted(samples)
+        if not samples:
+            return
         raw = [_kneser_ney(samples[x], order) for x in self.langs]
         size = max(2, len(np.unique(np.concatenate([r[0][0] for r in raw]))) + 1)
         self.floor = -np.log(size * 4)  # an unseen character
@@ -233,7 +235,7 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str =
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """All columns of docs, and a struct column __language: lang, score, cross_entropy, rejected."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = "lang string, score double, cross_entropy double, rejected boolean"
+    schema = "struct<lang:string,score:double,cross_entropy:double,rejected:boolean>"
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for column in batches:
@@ -245,15 +247,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             kinds = pa.string(), pa.float64(), pa.float64(), pa.bool_()
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["lang", "score", "cross_entropy", "rejected"])
 
-    udf = _arrow(run, schema)
-    return docs.withColumn("__language", udf(F.col(text)))
-
-
-def _arrow(run, schema: str):
-    from pyspark.sql.functions import arrow_udf
-
-    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    return arrow_udf(run, f"struct<{', '.join(x.strip().replace(' ', ':', 1) for x in schema.split(','))}>".replace(", ", ","))
+    return docs.withColumn("__language", arrow_column(run, schema)(F.col(text)))
 
 
 def held_out(key: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
