@@ -49,10 +49,14 @@ def uniform_groups(lengths: Column, tolerance: int = TOLERANCE) -> Column:
 
 
 def features(text: Column) -> Column:
-    """All features as a struct; the arrays that several need are made once."""
+    """All features as a struct; the arrays that several need are made once.
+
+    All listed words and patterns have a Chinese character, so a text without one isn't searched for them.
+    """
 
     def of(x: Column) -> Column:
         lengths, found = x["lengths"], x["words"]
+        searched = lambda count: F.when(F.size(found) > 0, count).otherwise(F.lit(0).cast("bigint"))
         n = F.size(lengths)
         total = F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, v: a + v)
         mean = F.when(n > 0, total / n).otherwise(F.lit(0.0))
@@ -74,12 +78,12 @@ def features(text: Column) -> Column:
             _ratio(extreme, n).alias("extreme_sentence_ratio"),
             F.size(F.array_distinct(found)).cast("bigint").alias("unique_words"),
             _ratio(F.size(F.array_distinct(found)), words).alias("lexical_diversity"),
-            F.when(F.length(text) > 0, rounded(connectors(text) / F.length(text) * 100, 4)).otherwise(F.lit(0.0)).alias("connector_density"),
-            _ratio(matches(text, PASSIVE), n).alias("passive_ratio"),
+            F.when(F.length(text) > 0, rounded(searched(connectors(text)) / F.length(text) * 100, 4)).otherwise(F.lit(0.0)).alias("connector_density"),
+            _ratio(searched(matches(text, PASSIVE)), n).alias("passive_ratio"),
             _ratio(occurrences(text, "，") + occurrences(text, ","), n).alias("comma_density"),
-            _ratio(matches(text, DASH), n).alias("dash_density"),
-            matches(text, THREE_PART).alias("three_part_enumeration_count"),
-            matches(text, META).alias("meta_discourse_count"),
+            _ratio(searched(matches(text, DASH)), n).alias("dash_density"),
+            searched(matches(text, THREE_PART)).alias("three_part_enumeration_count"),
+            searched(matches(text, META)).alias("meta_discourse_count"),
             uniform_groups(lengths).cast("bigint").alias("uniform_sentence_group_count"),
             lengths.alias("sentence_lengths"),
         )

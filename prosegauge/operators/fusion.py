@@ -37,7 +37,8 @@ def primary_signal(signals: Column) -> Column:
 def anomalies(paragraphs: DataFrame) -> DataFrame:
     """doc_id, paragraph_index, text, anomalies of eligible paragraphs that have any; the cheap test comes first."""
     fit = paragraphs.where(~F.col("in_code_fence") & B.eligible(F.col("text")))
-    found = fit.select("doc_id", "paragraph_index", "text", S.features(F.col("text")).alias("features"))
+    # explode keeps the optimizer from copying the features into each of their uses
+    found = fit.select("doc_id", "paragraph_index", "text", F.explode(F.array(S.features(F.col("text")))).alias("features"))
     return found.select("doc_id", "paragraph_index", "text", S.anomalies(F.col("features")).alias("anomalies")).where(F.size("anomalies") > 0)
 
 
@@ -83,7 +84,7 @@ def reports(docs: DataFrame, found: DataFrame) -> DataFrame:
     row = F.struct((-F.col("risk_score")).alias("order"), F.coalesce("paragraph_index", F.lit(0)).alias("place"), "paragraph_index", "text", "risk_score", "risk_level", "reasons", "suggestions", "detection_method", "signals")
     grouped = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("segments"))
     kind = grouped.schema["segments"].dataType
-    info = docs.select("doc_id", S.features(B.body(F.coalesce("text", F.lit("")))).alias("f"), F.size(B.paragraphs(F.coalesce("text", F.lit("")))).cast("bigint").alias("checked"))
+    info = docs.select("doc_id", F.explode(F.array(S.features(B.body(F.coalesce("text", F.lit("")))))).alias("f"), F.size(B.paragraphs(F.coalesce("text", F.lit("")))).cast("bigint").alias("checked"))
     all_ = info.join(grouped, "doc_id", "left").withColumn("segments", F.coalesce("segments", F.array().cast(kind)))
     seg, pars = F.col("segments"), F.col("f.paragraph_count")
     count = lambda level: F.size(F.filter(seg, lambda s: s["risk_level"] == level)).cast("bigint")
