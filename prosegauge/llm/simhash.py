@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, partitions, slices, stored, table, utf8, words
+from .common import LOWER, NON_SPACE, gathered, partitions, slices, stored, table, utf8, words
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -185,7 +185,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     tables = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for t, m in enumerate(masks(radius))])
     dealt = nodes.select("fp", F.explode(tables).alias("k")).select(F.xxhash64("k.t", "k.v").alias("bucket"), F.col("k.t").alias("t"), "fp")
     crowded = dealt.groupBy("bucket").count().where(F.col("count") > hot).select("bucket", F.lit(True).alias("crowded"))
-    crowded = stored(crowded, "simhash-hot")
+    crowded = stored(gathered(crowded, nodes), "simhash-hot")
     n = crowded.count()
     if n:
         blocks = [F.when(F.col("t") == t, F.array(*[F.struct(F.lit(b).alias("b"), F.col("fp").bitwiseAND(F.lit(m)).alias("v")) for b, m in enumerate(bs)])) for t, bs in enumerate(block_masks(radius))]
@@ -199,13 +199,13 @@ def links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """key, fp and component_id (the least key reachable over links of at most radius differing bits) of each document."""
     marked = stored(with_fingerprint(docs, key, text, shingle), "simhash-docs")
-    nodes = stored(marked.groupBy("fp").agg(F.min(key).alias("least")), "simhash-nodes")
-    groups = components(links(nodes.select("fp"), radius), "simhash-groups")
+    nodes = stored(gathered(marked.groupBy("fp").agg(F.min(key).alias("least")), docs), "simhash-nodes")
+    groups = components(links(nodes.select("fp"), radius), docs, "simhash-groups")
     known = nodes.join(groups.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    known = stored(known, "simhash-known")
+    known = stored(gathered(known, docs), "simhash-known")
     least = known.groupBy("component").agg(F.min("least").alias("component_id"))
     named = known.join(least, "component").select("fp", "component_id")
-    return marked.join(named, "fp").select(key, "fp", "component_id")
+    return gathered(marked.join(named, "fp").select(key, "fp", "component_id"), docs)
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
