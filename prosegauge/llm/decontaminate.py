@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, RangeHash, byte_class, slices, table, utf8, words
+from .common import LOWER, RangeHash, arrow_column, byte_class, slices, table, utf8, words
 
 #: Words: digits, a-z and all code points from U+0080 on, after A-Z are lower-cased.
 WORD = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
@@ -193,10 +193,23 @@ def _runner(shared, window: int):
     return run
 
 
-def clean(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The documents without any benchmark window, with all their columns; ones without a key stay."""
-    hit = matches(docs, bench, key, text).where("n_hit > 0").select(F.col(key).alias("__hit")).distinct()
-    return docs.join(hit, docs[key] == hit["__hit"], "left_anti")
+def _hits(shared, window: int):
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        block = None
+        for column in batches:
+            block = block or Block(shared.value, window)
+            data, offs = utf8(column)
+            yield pa.array([n for i, j in slices(offs) for _, n, _ in scan(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], block)], pa.int64())
+
+    return run
+
+
+def clean(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW) -> DataFrame:
+    """The documents without any benchmark window, with all their columns; each block of the benchmark is a filter."""
+    for items in blocks(bench.select(item, text)):
+        shared = docs.sparkSession.sparkContext.broadcast(items)
+        docs = docs.where(arrow_column(_hits(shared, window), "bigint")(F.col(text)) == 0)
+    return docs
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

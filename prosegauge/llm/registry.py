@@ -5,6 +5,8 @@ from __future__ import annotations
 from .bpe import op8_bpe
 from .decontaminate import op5_decontaminate
 from .language import op10_language
+from .ledger import OP7_SQL, op7_ledger
+from .licenses import op2_licenses
 from .lm import op9_lm
 from .simhash import op6_simhash
 from .suffix_dedup import op1_suffix_dedup
@@ -13,12 +15,14 @@ from .winnow import op3_winnow
 
 QUERIES = {
     "op1_suffix_dedup": op1_suffix_dedup,
+    "op2_licenses": op2_licenses,
     "op3_winnow": op3_winnow,
     "op4_urls": op4_urls,
     "op5_decontaminate": op5_decontaminate,
     "op6_simhash": op6_simhash,
+    "op7_ledger": op7_ledger,
     "op8_bpe": op8_bpe,
     "op9_lm": op9_lm,
     "op10_language": op10_language,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {"op7_ledger": OP7_SQL}
