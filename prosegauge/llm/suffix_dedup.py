@@ -345,7 +345,7 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     release(spark)
 
     open_ = found.where("kind = 1").groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "lo", "hi")).alias("open"))
-    picked = given.join(open_.hint("shuffle_hash"), ["doc", "mark"])
+    picked = given.join(open_, ["doc", "mark"])
     records = picked.mapInArrow(_suffixes(length), "doc bigint, mark bigint, anchor bigint, lo int, hi int, after binary, before binary")
     suffixes = stored(gathered(records, docs), "suffix-open")
     release(spark)
@@ -387,7 +387,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     spans = repeated_spans(docs, key, text, length, k)
     given = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     given = _keyed(given, "__key", "__text", "__key")
-    joined = given.join(spans.hint("shuffle_hash"), ["doc", "mark"], "left").select(F.col("__key").alias("key"), "text", "spans")
+    joined = given.join(spans, ["doc", "mark"], "left").select(F.col("__key").alias("key"), "text", "spans")
     out = joined.mapInArrow(_cut, f"key {kind}, n_bytes bigint, removed array<struct<start:bigint,stop:bigint>>, kept binary")
     return gathered(out.withColumnRenamed("key", key), docs)
 
@@ -413,7 +413,7 @@ def kept_text(docs: DataFrame, key: str = "doc_id", text: str = "text", length:
     doc, mark, found = fresh(docs, "__doc", "__mark", "__spans")
     spans = repeated_spans(docs, key, text, length, k).select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("spans").alias(found))
     rows = docs.withColumn(doc, F.coalesce(F.col(key).cast("bigint"), F.lit(LAST))).withColumn(mark, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    joined = rows.join(spans.hint("shuffle_hash"), [doc, mark], "left")
+    joined = rows.join(spans, [doc, mark], "left")
     cut = arrow_column(_text, "struct<kept:string,n_removed:bigint>", 2)(F.col(text), F.col(found))
     return gathered(joined.withColumn("__kept", cut).drop(doc, mark, found), docs)
 
