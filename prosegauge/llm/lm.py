@@ -6,8 +6,9 @@ space; a bucket adds them up and answers every batch. Distinct bigrams with coun
 own segment of the filter: a bigram seen c times is entered at levels 1 to 1 + floor(log2(c)), one 64-bit word and ``PROBES``
 bits for each level. A reader probes level after level until one fails; the last one gives the count.
 
-The filter is broadcast in blocks of whole segments of at most ``FILTER_BYTES``; if one block does not hold it, the batches
-are read once for each block and every token is scored in the pass of its own bigram. So what is broadcast is bounded.
+A filter that the number of training tokens bounds by ``FILTER_BYTES`` is broadcast to the workers. Beyond that it stays where it is made: each batch sends its
+distinct bigrams to the buckets, which probe their own segments and answer with a level each, one byte. Both ways give the same
+scores; the second costs one more exchange and grows in proportion to the corpus.
 
 log10 P(w | u) = log10(MIX * count(u, w) / count(u) + (1 - MIX) * P(w)), where P(w) is the smoothed unigram share; a context
 never seen in training leaves P(w) alone. The context of a text's first token is the end of a text.
@@ -19,7 +20,6 @@ learned; with nothing learned every share is 1; tokens are told apart by 64-bit
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,10 +27,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, RangeHash, mixed, partitions, slices, stored, table, utf8, words
+from .common import LOWER, NON_SPACE, RangeHash, gathered, mixed, partitions, slices, stored, table, utf8, words
 
 BATCH_BYTES = 8 << 20
-FILTER_BYTES = 128 << 20
+FILTER_BYTES = 192 << 20
 BITS, PROBES = 12, 4
 #: Tokens that a reader scores at a time.
 STEP = 1 << 18
@@ -144,16 +144,23 @@ def _bigrams(h: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return mixed(u * _K ^ (h << np.uint64(1)) ^ (h >> np.uint64(63)), 3), before
 
 
-def _pairs(n: int):
+def _pairs(n: int, every: bool):
+    """Distinct bigrams of a batch by bucket, with counts in training texts; every: those of other texts too."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 sizes = np.array(r["sizes"], np.int64)
                 h = np.frombuffer(r["vocabulary"], np.uint64)[unpack(r["tokens"], int(sizes.sum()))]
                 g, _ = _bigrams(h, sizes)
-                g, c = np.unique(g[np.repeat(np.array(r["learn"], bool), sizes)], return_counts=True)
-                rows = [(b, g[at].tobytes(), pack(c[at])) for b, at in _parts(g, n)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int32(), pa.binary(), pa.binary()))], names=["bucket", "hashes", "counts"])
+                learn = np.repeat(np.array(r["learn"], bool), sizes)
+                if every:
+                    g, where = np.unique(g, return_inverse=True)
+                    c = np.bincount(where, learn, len(g)).astype(np.int64)
+                else:
+                    g, c = np.unique(g[learn], return_counts=True)
+                rows = [(b, r["batch"], g[at].tobytes(), pack(c[at])) for b, at in _parts(g, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[k] for x in rows], t) for k, t in enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))], names=["bucket", "batch", "hashes", "counts"])
 
     return run
 
@@ -168,19 +175,40 @@ def _probe(g: np.ndarray, level: int, size: np.ndarray | int) -> tuple[np.ndarra
     return word.astype(np.int64), bits
 
 
-def _segment(group: pa.Table) -> pa.Table:
-    """The filter segment of a bucket."""
-    bucket = group.column("bucket")[0].as_py()
-    asked = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
-    counts = np.concatenate([unpack(x, len(a)) for x, a in zip(group.column("counts").to_pylist(), asked)])
+def _bits(asked: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
+    """The filter segment of a bucket's bigrams."""
     g, where = np.unique(np.concatenate(asked), return_inverse=True)
-    level = 1 + np.floor(np.log2(np.bincount(where, counts, len(g)))).astype(np.int64)
+    total = np.bincount(where, np.concatenate(counts), len(g))
+    g, total = g[total > 0], total[total > 0]
+    level = 1 + np.floor(np.log2(total)).astype(np.int64)
     size = max(1, -(-int(level.sum()) * BITS // 64))
     bits = np.zeros(size, np.uint64)
     for q in range(1, int(level.max(initial=0)) + 1):
         word, mask = _probe(g[level >= q], q, size)
         np.bitwise_or.at(bits, word, mask)
-    return pa.table({"bucket": pa.array([bucket], pa.int32()), "size": pa.array([size], pa.int64()), "bits": pa.array([bits.tobytes()], pa.binary())})
+    return bits
+
+
+def _opened(group: pa.Table) -> tuple[int, list[np.ndarray], list[np.ndarray]]:
+    asked = [np.frombuffer(x, np.uint64) for x in group.column("hashes").to_pylist()]
+    return group.column("bucket")[0].as_py(), asked, [unpack(x, len(a)) for x, a in zip(group.column("counts").to_pylist(), asked)]
+
+
+def _segment(group: pa.Table) -> pa.Table:
+    bucket, asked, counts = _opened(group)
+    bits = _bits(asked, counts)
+    return pa.table({"bucket": pa.array([bucket], pa.int32()), "bits": pa.array([bits.tobytes()], pa.binary())})
+
+
+def _levels(n: int):
+    def run(group: pa.Table) -> pa.Table:
+        """A level for each bigram that a batch asks for, from the bucket's own segment."""
+        bucket, asked, counts = _opened(group)
+        own = Filter(n, [(bucket, _bits(asked, counts).tobytes())])
+        packed = [pa.compress(own.levels(g).astype(np.uint8).tobytes(), codec="zstd", asbytes=True) for g in asked]
+        return pa.table({"bucket": pa.array([bucket] * len(asked), pa.int32()), "batch": group.column("batch").combine_chunks(), "levels": pa.array(packed, pa.binary())})
+
+    return run
 
 
 class Filter:
@@ -194,8 +222,8 @@ class Filter:
         self.base = np.cumsum(self.size) - self.size
         self.bits = np.frombuffer(b"".join(raw for _, raw in sorted(segments)), np.uint64)
 
-    def counts(self, g: np.ndarray) -> np.ndarray:
-        """Estimated counts: the middle of the last level that answers."""
+    def levels(self, g: np.ndarray) -> np.ndarray:
+        """The last level that answers, 0 if none does."""
         level = np.zeros(len(g), np.int64)
         b = bucket_of(g, self.buckets)
         live = np.flatnonzero(self.size[b] > 0)
@@ -205,43 +233,58 @@ class Filter:
             word, mask = _probe(g[live], q, self.size[b[live]])
             live = live[(self.bits[self.base[b[live]] + word] & mask) == mask]
             level[live] = q
-        return np.where(level > 0, 1.5 * np.exp2(level - 1.0) - 0.5, 0.0)
+        return level
+
+    def counts(self, g: np.ndarray) -> np.ndarray:
+        return estimate(self.levels(g))
+
 
+def estimate(level: np.ndarray) -> np.ndarray:
+    """The middle of the counts of a level."""
+    return np.where(level > 0, 1.5 * np.exp2(level - 1.0) - 0.5, 0.0)
+
+
+def _gathered(answers: list[dict], values: str, width: str, h: np.ndarray, buckets: int) -> np.ndarray:
+    """The buckets' answers in the order of the hashes that were asked for."""
+    b = bucket_of(h, buckets)
+    asked = np.bincount(b, minlength=buckets)
+    out = np.zeros(len(h), np.int64)
+    size = np.dtype(width).itemsize
+    out[np.argsort(b, kind="stable")] = np.concatenate([np.frombuffer(pa.decompress(x[values], size * int(asked[x["bucket"]]), codec="zstd", asbytes=True), width) for x in answers])
+    return out
+
+
+def _score(shared, buckets: int, n: int, v: int, mix: float):
+    """shared: the filter, or None where each batch comes with its levels."""
 
-def _score(shared, buckets: int, start: int, stop: int, n: int, v: int, mix: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for r in batch.to_pylist():
                 sizes = np.array(r["sizes"], np.int64)
                 vocabulary = np.frombuffer(r["vocabulary"], np.uint64)
                 tokens = unpack(r["tokens"], int(sizes.sum()))
-                order = np.argsort(bucket_of(vocabulary, buckets), kind="stable")
-                count = np.zeros(len(vocabulary), np.int64)
-                asked = np.bincount(bucket_of(vocabulary, buckets), minlength=buckets)
-                count[order] = np.concatenate([np.frombuffer(pa.decompress(x["totals"], 8 * int(asked[x["bucket"]]), codec="zstd", asbytes=True), "<i8") for x in r["answers"]])
+                count = _gathered(r["answers"], "totals", "<i8", vocabulary, buckets)
                 share = (count + 0.1) / (n + 0.1 * (v + 1))
                 first = np.cumsum(sizes) - sizes
                 g, before = _bigrams(vocabulary[tokens], sizes)
-                b = bucket_of(g, buckets)
-                mine = np.flatnonzero((b >= start) & (b < stop))
-                del b
+                if shared is None:
+                    kinds, where = np.unique(g, return_inverse=True)
+                    told = estimate(_gathered(r["levels"], "levels", "u1", kinds, buckets))
                 ended = int(count[vocabulary == END].sum())
                 part = np.zeros(len(tokens))
-                for at in (mine[i : i + STEP] for i in range(0, len(mine), STEP)):
+                for i in range(0, len(tokens), STEP):
+                    at = slice(i, min(i + STEP, len(tokens)))
                     head = before[at]
                     context = np.where(head < 0, ended, count[tokens[head]])
                     p = share[tokens[at]]
                     known = context > 0
-                    seen = np.minimum(shared.value.counts(g[at[known]]), context[known])
-                    p[known] = mix * seen / context[known] + (1 - mix) * p[known]
+                    c = told[where[at][known]] if shared is None else shared.value.counts(g[at][known])
+                    p[known] = mix * np.minimum(c, context[known]) / context[known] + (1 - mix) * p[known]
                     part[at] = np.log10(p)
-                del g, before, mine
                 add = lambda x: np.add.reduceat(x, first)
-                base, hits = (np.log10(share)[tokens], (count > 0)[tokens].astype(np.int64)) if start == 0 else (np.zeros(len(tokens)), np.zeros(len(tokens), np.int64))
-                k = len(sizes)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(k, r["batch"])), pa.array(np.arange(k)), pa.array(r["keys"], pa.int64()), pa.array(r["held"], pa.bool_()), pa.array(sizes if start == 0 else sizes * 0), pa.array(add(hits)), pa.array(add(base)), pa.array(add(part))],
-                    names=["batch", "place", "key", "held_out", "n_tokens", "n_known", "base_score", "score"],
+                    [pa.array(r["keys"], pa.int64()), pa.array(r["held"], pa.bool_()), pa.array(sizes), pa.array(add((count > 0)[tokens].astype(np.int64))), pa.array(add(np.log10(share)[tokens])), pa.array(add(part))],
+                    names=["key", "held_out", "n_tokens", "n_known", "base_score", "score"],
                 )
 
     return run
@@ -255,36 +298,25 @@ def scores(docs: DataFrame, learn, held, key: str = "doc_id", text: str = "text"
     batches = stored(given.mapInArrow(_tokenize, BATCHES), "lm-batches")
 
     requests = batches.select("batch", "vocabulary", "trained").mapInArrow(_requests(buckets), "bucket int, batch bigint, hashes binary, counts binary")
-    answers = stored(requests.groupBy("bucket").applyInArrow(_answer, "bucket int, batch bigint, totals binary, n bigint, v bigint"), "lm-unigrams")
+    answers = requests.groupBy("bucket").applyInArrow(_answer, "bucket int, batch bigint, totals binary, n bigint, v bigint")
+    answers = stored(gathered(answers, docs), "lm-unigrams")
     n, v = answers.where("batch < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
 
-    pairs = batches.select("sizes", "learn", "vocabulary", "tokens").mapInArrow(_pairs(buckets), "bucket int, hashes binary, counts binary")
-    segments = stored(pairs.groupBy("bucket").applyInArrow(_segment, "bucket int, size bigint, bits binary"), "lm-filter")
-
-    # blocks of whole segments
-    sizes = sorted((r[0], 8 * r[1]) for r in segments.select("bucket", "size").toLocalIterator())
-    cuts, held_bytes = [0], 0
-    for b, size in sizes:
-        if held_bytes and held_bytes + size > filter_bytes:
-            cuts.append(b)
-            held_bytes = 0
-        held_bytes += size
-    cuts.append(buckets)
-
     asked = answers.where("batch >= 0").groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "totals"))).alias("answers"))
     ready = batches.select("batch", "keys", "held", "sizes", "vocabulary", "tokens").join(asked, "batch")
-    if len(cuts) > 2:
-        ready = stored(ready, "lm-ready")
-    schema = "batch bigint, place bigint, key bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
-    passes = []
-    for start, stop in zip(cuts[:-1], cuts[1:]):
-        block = [(r[0], bytes(r[1])) for r in segments.where(F.col("bucket").between(start, stop - 1)).select("bucket", "bits").toLocalIterator()]
-        shared = spark.sparkContext.broadcast(Filter(buckets, block))
-        passes.append(ready.mapInArrow(_score(shared, buckets, start, stop, n, v, mix), schema))
-    out = passes[0]
-    if len(passes) > 1:
-        sums = [F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base_score", "score")]
-        out = reduce(DataFrame.unionByName, passes).groupBy("batch", "place").agg(F.first("key").alias("key"), F.first("held_out").alias("held_out"), *sums)
+    columns, schema = ("batch", "sizes", "learn", "vocabulary", "tokens"), "bucket int, batch bigint, hashes binary, counts binary"
+    shared = None
+    # a bigram seen c times takes at most c entries, so n training tokens bound the filter before it is made
+    if n * BITS // 8 + 8 * buckets <= filter_bytes:
+        pairs = batches.select(*columns).mapInArrow(_pairs(buckets, False), schema)
+        segments = stored(gathered(pairs.groupBy("bucket").applyInArrow(_segment, "bucket int, bits binary"), docs), "lm-filter")
+        shared = spark.sparkContext.broadcast(Filter(buckets, [(r[0], bytes(r[1])) for r in segments.toLocalIterator()]))
+    else:
+        pairs = batches.select(*columns).mapInArrow(_pairs(buckets, True), schema)
+        levels = pairs.groupBy("bucket").applyInArrow(_levels(buckets), "bucket int, batch bigint, levels binary")
+        ready = ready.join(levels.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "levels"))).alias("levels")), "batch")
+    out = ready.mapInArrow(_score(shared, buckets, n, v, mix), "key bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = gathered(out, docs)
     return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
