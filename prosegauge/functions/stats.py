@@ -92,7 +92,7 @@ def features(text: Column) -> Column:
     return _let(arrays, of)
 
 
-#: Anomaly rules in order: type, label, hint, dimensions; predicate, score and description follow in anomalies().
+#: Anomaly types in order, with label, hint and dimensions; predicates, scores and descriptions follow in anomalies().
 RULES = [
     ("low_sentence_variation", "句子长度过于均匀", "刻意改变句子长度，加入短句打破节奏", ["rhythm", "authenticity"]),
     ("low_adjacent_sentence_delta", "相邻句长度跳变太小", "穿插明显更短或更长的句子，不要让每句都沿着同一节奏往前走", ["rhythm", "authenticity"]),
