@@ -31,7 +31,7 @@ ODD_SPACE = "\x1c\x1d\x1e\x1f"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = re.compile(f"[{SPACE}]+")
 #: Chunks and words that a worker keeps in each of two generations, and the longest that it keeps.
-KEPT, KEPT_CHARS = 150_000, 48
+KEPT, KEPT_WORDS, KEPT_CHARS = 250_000, 150_000, 48
 INF = 1 << 62
 #: Children of a node of the segment tree.
 WIDE = 24
@@ -75,7 +75,9 @@ class Vocabulary:
         model = spec["model"]
         ids = model["vocab"]
         self.suffix = model["end_of_word_suffix"]
-        self.tokens = {i: t for t, i in ids.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        known = {i: t for t, i in ids.items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
+        self.tokens = [known.get(i, "") for i in range(max(known) + 1)]
+        self.names = [str(i) for i in range(len(self.tokens))]
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.pairs: dict[int, int] = {}
         self.made: list[int] = []
@@ -140,8 +142,8 @@ def merge(ids: list[int], pairs: dict[int, int], made: list[int]) -> list[int]:
 class Encoder:
     """Encodes and decodes whole texts."""
 
-    def __init__(self, vocabulary: Vocabulary, kept: int = KEPT):
-        self.v, self.kept = vocabulary, kept
+    def __init__(self, vocabulary: Vocabulary, kept: int = KEPT, kept_words: int = KEPT_WORDS):
+        self.v, self.kept, self.kept_words = vocabulary, kept, kept_words
         self.find = word_pattern().findall
         self.parts = re.compile("(" + "|".join(map(re.escape, vocabulary.special)) + ")") if vocabulary.special else None
         self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
@@ -160,7 +162,7 @@ class Encoder:
             ids[-1] = self.v.last[raw[-1]]
             ids = merge(ids, self.v.pairs, self.v.made)
         if len(word) <= KEPT_CHARS:
-            if len(self.words) >= self.kept:
+            if len(self.words) >= self.kept_words:
                 self.old_words, self.words = self.words, {}
             self.words[word] = ids
         return ids
@@ -174,8 +176,8 @@ class Encoder:
             else:
                 low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # the library lowers each character by itself
                 ids = [i for w in self.find(low) for i in self.word(w)]
-            tokens = self.v.tokens
-            out = " ".join(map(str, ids)), " ".join([tokens[i] for i in ids])
+            names, tokens = self.v.names, self.v.tokens
+            out = " ".join([names[i] for i in ids]), " ".join([tokens[i] for i in ids])
         if len(chunk) <= KEPT_CHARS:
             if len(self.chunks) >= self.kept:
                 self.old_chunks, self.chunks = self.chunks, {}
@@ -204,6 +206,18 @@ class Encoder:
         return " ".join(ids), " ".join(tokens)
 
 
+#: The encoder of a worker, by its vocabulary; it outlives the task, and so do its tables.
+_ENCODERS: dict[int, Encoder] = {}
+
+
+def encoder_of(vocabulary: str) -> Encoder:
+    name = hash(vocabulary)
+    if name not in _ENCODERS:
+        _ENCODERS.clear()
+        _ENCODERS[name] = Encoder(Vocabulary(vocabulary))
+    return _ENCODERS[name]
+
+
 def vocabulary_text(path: str) -> str:
     with open(path, encoding="utf-8") as f:
         return f.read()
@@ -218,9 +232,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = None
+        encode = encoder_of(shared.value)
         for batch in batches:
-            encode = encode or Encoder(Vocabulary(shared.value))
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
                 ids, decoded = [], []
@@ -241,9 +254,8 @@ def with_tokens(docs: DataFrame, vocabulary: str, text: str = "text", into: str
     shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        encode = None
+        encode = encoder_of(shared.value)
         for column in batches:
-            encode = encode or Encoder(Vocabulary(shared.value))
             both = [encode(t or "") for t in column.to_pylist()]
             cols = [a.count(" ") + 1 if a else 0 for a, _ in both], [a for a, _ in both], [b for _, b in both]
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string()))], names=["n_tokens", "ids_text", "decoded"])

@@ -46,7 +46,7 @@ def passages(seed, n=50):
             x, a = rng.choice(base), rng.randint(0, 300)
             t = "".join(rng.choice("qrst") for _ in range(rng.randint(0, 50))) + x[a : a + rng.randint(50, 300)] + rng.choice(base)[: rng.randint(0, 200)]
         out.append((3 * i + 1, t))
-    return [*out, (1000, out[5][1]), (1000, out[5][1])]
+    return [*out, (1000, out[5][1]), (1000, out[5][1]), (None, base[0][50:260])]
 
 
 # ---- shared kernels ----------------------------------------------------------------------------------------------------------
@@ -318,9 +318,9 @@ def test_links_join_all_pairs_within_the_radius(spark, hot):
 
 
 def test_near_duplicates(spark):
-    docs = [(9, "same text here"), (3, "Same text here"), (4, None), (8, ""), (6, " "), (7, "other"), (7, "other"), (1, "w " * 20000)]
+    docs = [(9, "same text here"), (3, "Same text here"), (4, None), (8, ""), (6, " "), (7, "other"), (7, "other"), (1, "w " * 20000), (None, "alone"), (None, "OTHER")]
     got = {(r.doc_id, r.component_id) for r in simhash.near_duplicates(frame(spark, docs)).collect()}
-    assert got == {(9, 3), (3, 3), (4, 4), (8, 4), (6, 4), (7, 7), (1, 1)}
+    assert got == {(9, 3), (3, 3), (4, 4), (8, 4), (6, 4), (7, 7), (1, 1), (None, None), (None, 7)}
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
@@ -420,7 +420,7 @@ def test_bpe_of_long_words(encoder, library):
 
 def test_bpe_table_sizes_do_not_matter(library):
     v = bpe.Vocabulary(bpe.vocabulary_text(bpe.default_path()))
-    small, rng = bpe.Encoder(v, 3), random.Random(3)
+    small, rng = bpe.Encoder(v, 3, 2), random.Random(3)
     for _ in range(200):
         same(small, library, " ".join(rng.choice(["the", "The,", "of", "it's", "naïve", "retitioning"]) for _ in range(40)))
 
@@ -472,7 +472,7 @@ def test_lm_filter():
     rng = np.random.default_rng(0)
     g = np.unique(rng.integers(0, 1 << 63, 40000).astype(np.uint64))
     counts = rng.integers(1, 200, len(g))
-    table = pa.table({"bucket": pa.array([0] * 2, pa.int32()), "hashes": pa.array([g[::2].tobytes(), g[1::2].tobytes()], pa.binary()), "counts": pa.array([lm.pack(counts[::2]), lm.pack(counts[1::2])], pa.binary())})
+    table = pa.table({"bucket": pa.array([0] * 2, pa.int32()), "batch": pa.array([0, 1], pa.int64()), "hashes": pa.array([g[::2].tobytes(), g[1::2].tobytes()], pa.binary()), "counts": pa.array([lm.pack(counts[::2]), lm.pack(counts[1::2])], pa.binary())})
     f = lm.Filter(1, [(0, lm._segment(table).column("bits")[0].as_py())])
     exact = 1.5 * 2 ** np.floor(np.log2(counts)) - 0.5
     got = f.counts(g)
