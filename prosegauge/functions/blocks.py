@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .dialect import BREAK, WS, occurrences, strip
+from .dialect import BREAK, CHARS, WS, occurrences, strip
 
 FENCE = "```"
 LINE_BREAK = "\r\n|[\n\r\x0b\x0c\x1c-\x1e\\x{85}\\x{2028}\\x{2029}]"
@@ -64,11 +64,13 @@ def is_code(text: Column) -> Column:
 
 
 def is_table(text: Column) -> Column:
-    return (F.size(lines(text)) > 0) & F.forall(lines(text), lambda x: F.startswith(x, F.lit("|")))
+    """All lines begin with a bar; lines are looked at only if the text does."""
+    return F.startswith(strip(text), F.lit("|")) & (F.size(lines(text)) > 0) & F.forall(lines(text), lambda x: F.startswith(x, F.lit("|")))
 
 
 def is_list(text: Column) -> Column:
-    return (F.size(lines(text)) > 0) & F.forall(lines(text), lambda x: x.rlike(LIST_ITEM))
+    """All lines are items; lines are looked at only if the text begins like one."""
+    return strip(text).rlike(LIST_ITEM) & (F.size(lines(text)) > 0) & F.forall(lines(text), lambda x: x.rlike(LIST_ITEM))
 
 
 def block_type(text: Column) -> Column:
@@ -77,7 +79,7 @@ def block_type(text: Column) -> Column:
 
 def plain_length(text: Column) -> Column:
     """Characters that aren't white space."""
-    return F.length(F.regexp_replace(text, WS, ""))
+    return F.length(F.translate(text, CHARS, ""))
 
 
 def fences(text: Column) -> Column:
@@ -86,7 +88,7 @@ def fences(text: Column) -> Column:
 
 def eligible(text: Column, min_chars: int = MIN_CHARS, min_sentences: int = MIN_SENTENCES) -> Column:
     """Whether statistics of the paragraph mean anything: prose, long enough, of several sentences."""
-    return (block_type(text) == "prose") & (plain_length(text) >= min_chars) & (F.size(stat_sentences(text)) >= min_sentences)
+    return (F.length(text) >= min_chars) & (plain_length(text) >= min_chars) & (F.size(stat_sentences(text)) >= min_sentences) & (block_type(text) == "prose")
 
 
 def span_index(spans: Column, pos: Column) -> Column:

@@ -21,9 +21,14 @@ BREAK = f"\n{WS}*\n"
 """What parts paragraphs."""
 
 
+CHARS = "".join(chr(c) for a, b in _RANGES for c in range(a, b + 1))
+"""All white-space characters."""
+
+
 def strip(text: Column) -> Column:
-    """Without white space at both ends."""
-    return F.regexp_replace(text, f"^{WS}+|{WS}+\\z", "")
+    """Without white space at both ends; most texts have none there, which their first and last character tell."""
+    bare = ~F.left(text, F.lit(1)).rlike(WS) & ~F.right(text, F.lit(1)).rlike(WS)
+    return F.when(bare, text).otherwise(F.regexp_replace(text, f"^{WS}+|{WS}+\\z", ""))
 
 
 def rounded(value: Column, digits: int) -> Column:
