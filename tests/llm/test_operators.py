@@ -352,6 +352,48 @@ def test_one_of_each(spark):
     assert set(CLASH) <= set(out.columns)
 
 
+def brute_similar(docs, shingle=5, similarity=0.8):
+    """doc -> the least doc reachable over pairs of at least the Jaccard similarity."""
+    sets = {}
+    for d, t in docs:
+        w = re.findall(r"[^\x20\x09-\x0D]+", lower(t))
+        sets[d] = {tuple(w[i : i + shingle]) for i in range(max(1, len(w) - shingle + 1))} if w else set()
+    up = {d: d for d in sets}
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        both, either = len(sets[a] & sets[b]), len(sets[a] | sets[b])
+        if not either or both >= similarity * either - 1e-9:
+            p, q = root(a), root(b)
+            up[max(p, q)] = min(p, q)
+    return {d: root(d) for d in sets}
+
+
+def test_near_duplicates_are_those_of_exact_similarity(spark):
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(3000)}"
+    line = [word() for _ in range(25)]
+    docs = [(0, None), (1, " "), (2, "one two"), (3, "One  TWO"), (4, "one two three four five"), (5, "one two three four five six")]
+    for g in range(70):  # a common line in all; copies on both sides of 0.8
+        w = [word() for _ in range(rng.choice([20, 60, 150, 400]))]
+        for c in range(4):
+            x = list(w)
+            for _ in range(c and rng.randint(1, max(1, len(w) // 30))):
+                x[rng.randrange(len(x))] = word()
+            docs.append((len(docs), " ".join(x + line)))
+    w = [word() for _ in range(80)]
+    for c in range(60):  # a chain of many copies
+        w[rng.randrange(80)] = word()
+        docs.append((len(docs), " ".join(w)))
+    got = {r.doc: r.component_id for r in simhash_similar.groups(frame(spark, docs)).collect()}
+    want = brute_similar(docs)
+    assert got == want and 100 < len(set(want.values())) < len(docs) - 100
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.component for r in components.components(edges, edges).collect()}
