@@ -6,6 +6,10 @@ of its rows, and queries are held against all of it.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +18,8 @@ from ..sources import library
 
 DIMENSIONS, TOP_K, RRF, LEAD = 64, 5, 60, 64
 MOST_ROWS = 20_000
+#: Queries, or index rows, that are held as one matrix; rows held against it at once.
+BLOCK, TILE = 4096, 1024
 
 
 class IndexUnavailableError(RuntimeError):
@@ -76,6 +82,66 @@ def knn(queries: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _matrix(column: pa.Array, dimensions: int) -> np.ndarray:
+    """Unit vectors; a null, one of another length, and one of no length are zero, which is similar to nothing."""
+    out = np.zeros((len(column), dimensions))
+    for i, v in enumerate(column.to_pylist()):
+        if v is not None and len(v) == dimensions and None not in v:
+            out[i] = v
+    norm = np.sqrt((out * out).sum(1, keepdims=True))
+    return np.divide(out, norm, out=np.zeros_like(out), where=norm > 0)
+
+
+def _nearest(shared, k: int, turned: bool):
+    """Pairs of rows and the held block that may be among a query's k best; ties of the last place stay. turned: the block is the queries."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, ids = shared.value
+        for batch in batches:
+            for i in range(0, batch.num_rows, TILE):
+                part = batch.slice(i, TILE)
+                like = _matrix(part.column(1), held.shape[1]) @ held.T
+                like = like.T if turned else like  # a row for each query
+                last = np.partition(like, like.shape[1] - k, axis=1)[:, -k] if like.shape[1] > k else np.full(len(like), -2.0)
+                q, v = np.nonzero(like >= last[:, None] - 1e-6)
+                of, to = (ids, part.column(0)) if turned else (part.column(0), ids)
+                yield pa.RecordBatch.from_arrays([of.take(pa.array(q)), to.take(pa.array(v)), pa.array(like[q, v])], names=["query_id", "id", "similarity"])
+
+    return run
+
+
+def knn_in_blocks(queries: DataFrame, index: DataFrame, k: int = TOP_K, hold_index: bool = False) -> DataFrame:
+    """As knn, for an index of any size: the queries (or the index, where that is the small side) are held in blocks, and all rows of the other side pass each."""
+    kind = lambda df, c: df.schema[c].dataType.simpleString()
+    schema = f"query_id {kind(queries, 'query_id')}, id {kind(index, 'id')}, similarity double"
+    held, name = (index, "id") if hold_index else (queries, "query_id")
+    rows = index.select("id", "vector") if not hold_index else queries.select("query_id", "vector")
+    blocks = max(1, -(-held.count() // BLOCK))
+    parts = []
+    for b in range(blocks):
+        one = held.select(name, "vector").where(F.pmod(F.xxhash64(name), F.lit(blocks)) == b).toArrow().combine_chunks()
+        if one.num_rows:
+            vectors = one.column("vector").combine_chunks()
+            shared = queries.sparkSession.sparkContext.broadcast((_matrix(vectors, max(len(v or []) for v in vectors.to_pylist())), pa.concat_arrays(one.column(name).chunks)))
+            parts.append(rows.mapInArrow(_nearest(shared, k, not hold_index), schema))
+    found = parts[0] if parts else queries.sparkSession.createDataFrame([], schema)
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    w = Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id")
+    return found.withColumn("similarity", rounded(F.col("similarity"), 6)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def lexical_in_blocks(queries: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
+    """As lexical, for an index of any size: the queries are broadcast in blocks. A null text is contained in nothing."""
+    blocks = max(1, -(-queries.count() // BLOCK))
+    found = None
+    for b in range(blocks):
+        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.left("text", F.lit(LEAD)).alias("lead"))
+        pairs = index.select("id", "document").join(F.broadcast(part), F.contains(F.col("document"), F.col("lead"))).select("query_id", "id")
+        found = pairs if found is None else found.unionByName(pairs)
+    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where(F.col("rank") <= k)
+
+
 def lexical(queries: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
     """query_id, id, rank of documents that contain the first characters of the query."""
     hit = F.contains(F.col("document"), F.left("text", F.lit(LEAD)))

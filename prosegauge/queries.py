@@ -529,6 +529,42 @@ def retrieval_merge(spark, sf_dir):
     return retrieval.best_of_paragraph(rows).select("doc_id", "paragraph_index", "case_id", "score")
 
 
+#: Of the whole table, rows of these numbers are queries.
+QUERY_EVERY = 20
+
+
+def _all_vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Queries and index: every row is indexed. The text of a vector is that of the document of its number, if there is one."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("document"))
+    index = rows.join(texts, "vec_id", "left").withColumnRenamed("vec_id", "id")
+    return index.where(F.col("id") % QUERY_EVERY == 0).select(F.col("id").alias("query_id"), "vector", F.col("document").alias("text")), index
+
+
+@query()
+def knn_all(spark, sf_dir):
+    """The five most similar of all vectors, for every twentieth; knn_topk has 64 index rows, as its SQL has."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    queries = rows.where(F.col("id") % QUERY_EVERY == 0).withColumnRenamed("id", "query_id")
+    return retrieval.knn_in_blocks(queries, rows).select("query_id", "id", "similarity", "rank")
+
+
+@query()
+def hybrid_all(spark, sf_dir):
+    """Vectors of all rows, and their documents that contain the query's first characters, fused by reciprocal ranks."""
+    queries, index = _all_vectors(spark, sf_dir)
+    return retrieval.fuse([retrieval.lexical_in_blocks(queries, index), retrieval.knn_in_blocks(queries, index)]).select("query_id", "id", "fused", "rank")
+
+
+@query()
+def merge_all(spark, sf_dir):
+    """Every twentieth vector as a sentence of a paragraph, against all rows: the best score of each, then the five best."""
+    near = knn_all(spark, sf_dir)
+    place = F.floor(F.col("query_id") / QUERY_EVERY)
+    rows = near.select(F.floor(place / 10).alias("doc_id"), (place % 3).cast("int").alias("paragraph_index"), (place % 10).cast("int").alias("sentence_index"), "rank", F.col("id").alias("case_id"), rounded(F.greatest(F.lit(0.0), F.col("similarity")), 4).alias("score"))
+    return retrieval.best_of_paragraph(rows).select("doc_id", "paragraph_index", "case_id", "score")
+
+
 @query()
 def case_search(spark, sf_dir):
     """Sentences of the corpus that have a Chinese character against the case index, hybrid."""

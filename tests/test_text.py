@@ -260,3 +260,26 @@ def test_index_and_search(spark, tmp_path):
     top = retrieval.search(q, index).orderBy("rank").collect()
     assert len(top) == 5 and top[0].case_id == "zh.arg.steadily_catch_you" and 0 <= top[0].score <= 1
     assert {r.case_id for r in retrieval.search(q, index, "vector", genres=["academic", "narrative"]).collect()} <= {c[1] for c in library.cases(genres=["academic"])}
+
+
+def test_every_vector_can_be_a_neighbour(spark, tmp_path, monkeypatch):
+    import numpy as np
+
+    from prosegauge import queries
+
+    rng = np.random.default_rng(5)
+    v = rng.normal(size=(300, 8))
+    v[7] = 0
+    v[299] = v[40] * 2
+    texts = [(i, f"text of number {i % 150}") for i in range(200)]
+    spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id bigint, embedding array<double>").repartition(3).write.parquet(str(tmp_path / "embeddings.parquet"))
+    spark.createDataFrame(texts, "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    unit = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300)
+    like = np.round(unit @ unit.T, 6)
+    want = {q: sorted(range(300), key=lambda i: (-like[q, i], i))[:5] for q in range(0, 300, 20)}
+    for size in (4096, 4):
+        monkeypatch.setattr(retrieval, "BLOCK", size)
+        got = queries.QUERIES["knn_all"](spark, str(tmp_path)).collect()
+        assert {q: [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] for q in want} == want and want[40][:2] == [40, 299]
+        fused = {(r.query_id, r.id): r.fused for r in queries.QUERIES["hybrid_all"](spark, str(tmp_path)).collect()}
+        assert fused[20, 20] == round(2 / 61, 8) and fused[20, 170] >= round(1 / 62, 8) and fused[280, 280] == round(1 / 61, 8)
