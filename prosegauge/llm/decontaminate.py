@@ -6,7 +6,7 @@ suffix array word by word and so finds its longest match up to the window length
 an item join to the longest verbatim matches, with their places. Nothing is shuffled; the benchmark goes round in blocks
 of a fixed size, each broadcast by itself, so its size has no bound but the broadcast has.
 
-Cases: null or empty texts have no words; an item of fewer words than the window is one window, one without words none;
+Cases: an item with a null id is looked for like any other, and its matches have a null item_id; null or empty texts have no words; an item of fewer words than the window is one window, one without words none;
 repeated rows are judged each; overlapping hits count once; extra columns are not carried.
 """
 
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, RangeHash, arrow_column, byte_class, slices, table, utf8, words
+from .common import LOWER, RangeHash, arrow_column, byte_class, slices, stored, table, utf8, words
 
 #: Words: digits, a-z and all code points from U+0080 on, after A-Z are lower-cased.
 WORD = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
@@ -50,7 +50,7 @@ class Block:
         self.item = item[self.starts]
         self.length = size[self.item]
         self.word = self.starts - first[:-1][self.item] if len(h) else np.zeros(0, np.int64)
-        self.item_ids = np.array([i for i, _ in items], np.int64)
+        self.item_ids = [i for i, _ in items]
         self.shortest = int(self.length.min()) if len(self.starts) else 0
 
 
@@ -133,7 +133,7 @@ def scan(data: np.ndarray, offs: np.ndarray, block: Block) -> Iterator[tuple[int
             begin = np.flatnonzero(new)
             last = np.append(begin[1:] - 1, len(pos) - 1)
             for b, l in zip(begin.tolist(), last.tolist()):
-                rows[doc[b]].append({"item_id": int(block.item_ids[item[b]]), "doc_word": int(pos[b] - first[doc[b]]), "item_word": int(word[b]), "n_words": int(pos[l] + size[l] - pos[b])})
+                rows[doc[b]].append({"item_id": block.item_ids[item[b]], "doc_word": int(pos[b] - first[doc[b]]), "item_word": int(word[b]), "n_words": int(pos[l] + size[l] - pos[b])})
     covered = np.concatenate([[0], np.cumsum(np.cumsum(hit)[:-1] > 0)])
     n_hit = covered[first[1:]] - covered[first[:-1]]
     yield from zip(n_words.tolist(), n_hit.tolist(), rows)
@@ -144,8 +144,6 @@ def blocks(bench: DataFrame, size: int = BLOCK_BYTES) -> Iterator[list[tuple[int
     rows: list[tuple[int, str]] = []
     held = 0
     for r in bench.toLocalIterator():
-        if r[0] is None:
-            continue
         rows.append((r[0], r[1]))
         held += 4 * len(r[1] or "") + 16
         if held >= size:
@@ -158,25 +156,24 @@ def blocks(bench: DataFrame, size: int = BLOCK_BYTES) -> Iterator[list[tuple[int
 def matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", window: int = WINDOW) -> DataFrame:
     """key, n_words, n_hit, matches (array of item_id, doc_word, item_word, n_words) of every document.
 
-    With more than one block of benchmark text the documents are read once a block; then n_hit comes from the union of the matches.
+    With more than one block of benchmark text the rows are numbered and stored, and read once a block; then n_hit of each row comes
+    from the union of its matches.
     """
     spark = docs.sparkSession
     kind = docs.schema[key].dataType.simpleString()
-    schema = f"key {kind}, n_words bigint, n_hit bigint, matches array<struct<item_id:bigint,doc_word:bigint,item_word:bigint,n_words:bigint>>"
+    fields = "n_words bigint, n_hit bigint, matches array<struct<item_id:bigint,doc_word:bigint,item_word:bigint,n_words:bigint>>"
     given = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
-    parts = []
-    for items in blocks(bench.select(item, text)) if bench is not None else []:
-        shared = spark.sparkContext.broadcast(items)
-        parts.append(given.mapInArrow(_runner(shared, window), schema))
-    if not parts:
-        parts = [given.mapInArrow(_runner(spark.sparkContext.broadcast([]), window), schema)]
-    if len(parts) == 1:
-        return parts[0].withColumnRenamed("key", key)
+    shared = [spark.sparkContext.broadcast(items) for items in blocks(bench.select(item, text))] if bench is not None else []
+    if len(shared) < 2:
+        return given.mapInArrow(_runner(shared[0] if shared else spark.sparkContext.broadcast([]), window), f"key {kind}, {fields}").withColumnRenamed("key", key)
+    # keys may be null or repeated, so the parts of a row meet by its number
+    given = stored(given.select(F.struct(F.monotonically_increasing_id().alias("row"), "key").alias("key"), "text"), "numbered-docs")
+    parts = [given.mapInArrow(_runner(x, window), f"key struct<row:bigint,key:{kind}>, {fields}") for x in shared]
     both = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
     ranges = F.array_sort(F.transform("matches", lambda m: F.struct(m["doc_word"].alias("s"), (m["doc_word"] + m["n_words"]).alias("e"))))
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("to"))
     add = lambda a, r: F.struct((a["n"] + F.greatest(F.lit(0), r["e"] - F.greatest(a["to"], r["s"]))).cast("bigint").alias("n"), F.greatest(a["to"], r["e"]).alias("to"))
-    return both.select(F.col("key").alias(key), "n_words", F.aggregate(ranges, zero, add)["n"].alias("n_hit"), "matches")
+    return both.select(F.col("key.key").alias(key), "n_words", F.aggregate(ranges, zero, add)["n"].alias("n_hit"), "matches")
 
 
 def _runner(shared, window: int):
@@ -213,7 +210,7 @@ def clean(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "it
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words, hit words, items and contamination of every document, with its longest verbatim matches."""
+    """Words, hit words, items and contamination of every document, with its longest verbatim matches. Items with a null id count as one, which the digest of ids leaves out."""
     found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"].cast("string"))))
     return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.to_json("matches").alias("matches"))

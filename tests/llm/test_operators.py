@@ -257,6 +257,17 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     assert decontaminate.matches(docs, items.where("false")).where("n_hit > 0").count() == 0
 
 
+def test_decontamination_judges_each_row_and_every_item(spark, monkeypatch):
+    items = frame(spark, [(1, "one two three"), (None, "four five six"), (3, "seven eight nine")], "item_id bigint, text string")
+    docs = frame(spark, [(1, "one two three x"), (1, "clean"), (None, "clean too"), (None, "four five six"), (2, "clean"), (2, "clean")])
+    want = [(None, 2, 0, []), (None, 3, 3, [None]), (1, 1, 0, []), (1, 4, 3, [1]), (2, 1, 0, []), (2, 1, 0, [])]
+    for size in (4 << 20, 20):
+        monkeypatch.setattr(decontaminate.blocks, "__defaults__", (size,))
+        got = [(r.doc_id, r.n_words, r.n_hit, [m.item_id for m in r.matches]) for r in decontaminate.matches(docs, items).collect()]
+        assert sorted(got, key=lambda r: (r[0] or 0, r[1])) == want
+        assert sorted((r.doc_id or 0) for r in decontaminate.clean(docs, items).collect()) == [0, 1, 2, 2]
+
+
 # ---- 6 -----------------------------------------------------------------------------------------------------------------------
 
 
