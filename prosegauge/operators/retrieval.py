@@ -166,11 +166,11 @@ def hits(ranked: DataFrame, index: DataFrame, queries: DataFrame, mode: str) ->
     return rows.select("query_id", F.col("id").alias("case_id"), F.coalesce("metadata.label", "id").alias("label"), F.lit(mode).alias("query_mode"), score.alias("score"), "document", F.coalesce("metadata.diagnostic_dimensions", F.array().cast("array<string>")).alias("diagnostic_dimensions"), F.coalesce("metadata.rewrite_hint", F.lit("")).alias("rewrite_hint"), "rank")
 
 
-def search(queries: DataFrame, index: DataFrame, mode: str = "hybrid", k: int = TOP_K, lang: str | None = None, genres: list[str] | None = None) -> DataFrame:
-    """Hits of each query; mode: vector or hybrid. queries: query_id, text."""
+def search(queries: DataFrame, index: DataFrame, mode: str = "hybrid", k: int = TOP_K, lang: str | None = None, genres: list[str] | None = None, held: bool = False) -> DataFrame:
+    """Hits of each query; mode: vector or hybrid. queries: query_id, text. held: the index is held as a matrix, for many queries."""
     rows = where(index, lang, genres)
     asked = queries.withColumn("vector", embedding(F.col("text")))
-    near = knn(asked, rows, k)
+    near = knn_in_blocks(asked, rows, k, hold_index=True) if held else knn(asked, rows, k)
     ranked = fuse([lexical(asked, rows, k), near], k) if mode == "hybrid" else near
     return hits(ranked, rows, asked, mode)
 

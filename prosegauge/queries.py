@@ -567,10 +567,10 @@ def merge_all(spark, sf_dir):
 
 @query()
 def case_search(spark, sf_dir):
-    """Sentences of the corpus that have a Chinese character against the case index, hybrid."""
-    found = sentences(paragraphs(corpus(spark, sf_dir)).where(F.col("text").rlike(rules.CJK)))
+    """All distinct sentences of the corpus against the case index, hybrid."""
+    found = sentences(paragraphs(corpus(spark, sf_dir)))
     distinct = found.select("sentence").distinct().select(F.md5("sentence").alias("query_id"), F.col("sentence").alias("text"))
-    return retrieval.search(distinct, retrieval.index_rows(library.load_cases(spark))).select("query_id", "case_id", "score", "rank")
+    return retrieval.search(distinct, retrieval.index_rows(library.load_cases(spark)), held=True).select("query_id", "case_id", "score", "rank")
 
 
 # ---- probability -------------------------------------------------------------------------------------------------------------

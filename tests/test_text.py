@@ -283,3 +283,18 @@ def test_every_vector_can_be_a_neighbour(spark, tmp_path, monkeypatch):
         assert {q: [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] for q in want} == want and want[40][:2] == [40, 299]
         fused = {(r.query_id, r.id): r.fused for r in queries.QUERIES["hybrid_all"](spark, str(tmp_path)).collect()}
         assert fused[20, 20] == round(2 / 61, 8) and fused[20, 170] >= round(1 / 62, 8) and fused[280, 280] == round(1 / 61, 8)
+
+
+def test_case_search_takes_every_sentence(spark, tmp_path):
+    import hashlib
+
+    from prosegauge import queries
+
+    spark.createDataFrame([(12, "A plain English line. Another one here.\nUne phrase claire.")], "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.QUERIES["case_search"](spark, str(tmp_path)).collect()
+    every = [r.sentence for r in queries.sentences(queries.paragraphs(queries.corpus(spark, str(tmp_path)))).collect()]
+    assert any("English" in x for x in every) and {hashlib.md5(x.encode()).hexdigest() for x in every} == {r.query_id for r in got}
+    asked = spark.createDataFrame([(i, x) for i, x in enumerate(every)], "query_id int, text string")
+    index = retrieval.index_rows(library.load_cases(spark))
+    one, other = (sorted((r.query_id, r.case_id, r.score) for r in retrieval.search(asked, index, held=held).collect()) for held in (False, True))
+    assert one == other
