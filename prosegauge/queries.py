@@ -644,11 +644,27 @@ def probability_risk(spark, sf_dir):
     return both.select("doc_id", risk.alias("risk_score"), fusion.band(risk).alias("risk_level"))
 
 
+def _whole_texts(spark, sf_dir) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+
+
+@query()
+def document_window_ppl(spark, sf_dir):
+    """bigram_window_ppl for every window of the documents; the bigrams are those of all windows."""
+    w = probability.window_scores(probability.bigram_tokens(probability.windows(_whole_texts(spark, sf_dir))))
+    return w.select("doc_id", "window_index", "token_count", *[rounded(F.col(c), 4).alias(c) for c in ("ppl", "lrr", "top1_ratio")])
+
+
+@query()
+def document_rank_distribution(spark, sf_dir):
+    """rank_distribution over all windows of each document."""
+    return probability.rank_distribution(probability.bigram_tokens(probability.windows(_whole_texts(spark, sf_dir)))).drop("n_tokens")
+
+
 @query()
 def probability_report(spark, sf_dir):
-    """The whole probability report of the benchmark items."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").alias("doc_id"), "text")
-    return probability.probability(items).drop("reasons", "suggestions")
+    """The whole probability report of the documents, over all their windows."""
+    return probability.probability(_whole_texts(spark, sf_dir)).drop("reasons", "suggestions")
 
 
 # ---- rewrites ----------------------------------------------------------------------------------------------------------------

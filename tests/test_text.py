@@ -298,3 +298,26 @@ def test_case_search_takes_every_sentence(spark, tmp_path):
     index = retrieval.index_rows(library.load_cases(spark))
     one, other = (sorted((r.query_id, r.case_id, r.score) for r in retrieval.search(asked, index, held=held).collect()) for held in (False, True))
     assert one == other
+
+
+def test_probability_reads_every_window_of_the_documents(spark, tmp_path):
+    import collections
+    import math
+
+    from prosegauge import queries
+
+    texts = {1: "One sentence of many words stands here. " * 20, 2: "x" * 600, 3: "short", 4: None}
+    spark.createDataFrame(list(texts.items()), "doc_id bigint, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    windows = {(1, i): t for i, t in enumerate(chunks_of(texts[1]))} | {(2, i): texts[2][i * 128 : i * 128 + 256] for i in range(4)}
+    n = collections.Counter((t[i - 1], t[i]) for t in windows.values() for i in range(1, len(t)))
+    of, kinds = collections.Counter(), collections.Counter()
+    for (p, _), k in n.items():
+        of[p] += k
+        kinds[p] += 1
+    ll = {pc: math.log((k + 0.5) / (of[pc[0]] + 0.5 * kinds[pc[0]]) + 1e-10) for pc, k in n.items()}
+    want = {k: math.exp(-sum(ll[t[i - 1], t[i]] for i in range(1, len(t))) / (len(t) - 1)) for k, t in windows.items()}
+    got = {(r.doc_id, r.window_index): r.ppl for r in queries.QUERIES["document_window_ppl"](spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
+    report = {r.doc_id: r for r in queries.QUERIES["probability_report"](spark, str(tmp_path)).collect()}
+    assert set(report) == {1, 2} and report[1].min_ppl == round(min(want[k] for k in want if k[0] == 1), 2)
+    assert {r.doc_id for r in queries.QUERIES["document_rank_distribution"](spark, str(tmp_path)).collect()} == {1, 2}
