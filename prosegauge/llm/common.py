@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh folder below spark.checkpoint.dir, which all executors share; a local one only where that is unset (tests)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    """A fresh folder below spark.checkpoint.dir, which all executors share; a machine's own only where Spark is that machine (tests)."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
-        found = spark.sparkContext.getCheckpointDir() if hasattr(spark.sparkContext, "getCheckpointDir") else None
-        base = found or tempfile.gettempdir() + "/prosegauge"
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.gettempdir() + "/prosegauge"
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
@@ -161,10 +163,46 @@ class RangeHash:
         return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F), 7 + self.which)
 
 
-def arrow_column(run, schema: str, columns: int = 1):
+#: What a worker keeps from one task to the next, by operator; only the operator at work has anything here.
+_KEPT: dict[str, dict] = {}
+
+
+def kept_by(operator: str) -> dict:
+    """The tables that this worker keeps for an operator; those of others, whose stages are over, are dropped."""
+    if operator not in _KEPT:
+        _KEPT.clear()
+        _KEPT[operator] = {}
+        give_back()
+    return _KEPT[operator]
+
+
+def give_back() -> None:
+    """Free memory goes back to the system, as workers outlive their tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
+def tidy(run: Callable[[Iterator], Iterator], operator: str = "") -> Callable[[Iterator], Iterator]:
+    """A task's function that drops other operators' tables before it begins and gives free memory back when it ends."""
+
+    def tidied(batches):
+        kept_by(operator)
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return tidied
+
+
+def arrow_column(run, schema: str, columns: int = 1, operator: str = ""):
     """A vectorised column function from an iterator over batches of Arrow arrays (tuples of them for more columns)."""
     from pyspark.sql.functions import arrow_udf
 
+    run = tidy(run, operator)
     taken = Iterator[pa.Array] if columns == 1 else Iterator[tuple[(pa.Array,) * columns]]
     run.__annotations__ = {"batches": taken, "return": Iterator[pa.Array]}
     return arrow_udf(run, schema).asNondeterministic()  # else the optimizer may run it again for a filter

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, RangeHash, arrow_column, byte_class, slices, stored, table, utf8, words
+from .common import LOWER, RangeHash, arrow_column, byte_class, slices, stored, table, tidy, utf8, words
 
 #: Words: digits, a-z and all code points from U+0080 on, after A-Z are lower-cased.
 WORD = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
@@ -165,10 +165,10 @@ def matches(docs: DataFrame, bench: DataFrame, key: str = "doc_id", text: str =
     given = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     shared = [spark.sparkContext.broadcast(items) for items in blocks(bench.select(item, text))] if bench is not None else []
     if len(shared) < 2:
-        return given.mapInArrow(_runner(shared[0] if shared else spark.sparkContext.broadcast([]), window), f"key {kind}, {fields}").withColumnRenamed("key", key)
+        return given.mapInArrow(tidy(_runner(shared[0] if shared else spark.sparkContext.broadcast([]), window)), f"key {kind}, {fields}").withColumnRenamed("key", key)
     # keys may be null or repeated, so the parts of a row meet by its number
     given = stored(given.select(F.struct(F.monotonically_increasing_id().alias("row"), "key").alias("key"), "text"), "numbered-docs")
-    parts = [given.mapInArrow(_runner(x, window), f"key struct<row:bigint,key:{kind}>, {fields}") for x in shared]
+    parts = [given.mapInArrow(tidy(_runner(x, window)), f"key struct<row:bigint,key:{kind}>, {fields}") for x in shared]
     both = reduce(DataFrame.unionByName, parts).groupBy("key").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches"))
     ranges = F.array_sort(F.transform("matches", lambda m: F.struct(m["doc_word"].alias("s"), (m["doc_word"] + m["n_words"]).alias("e"))))
     zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("to"))

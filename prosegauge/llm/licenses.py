@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, RangeHash, byte_class, slices, stored, table, utf8, words
+from .common import LOWER, RangeHash, byte_class, slices, stored, table, tidy, utf8, words
 
 SENTENCE, WHOLE = 0.8, 0.5
 WORD = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
@@ -151,11 +151,11 @@ def scan(files: DataFrame, key: str = "doc_id", path: str = "path", text: str =
     spark = files.sparkSession
     kind = files.schema[key].dataType.simpleString()
     t = Templates(templates)
-    counted = files.select(text).mapInArrow(_frequencies(spark.sparkContext.broadcast(t)), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    counted = files.select(text).mapInArrow(tidy(_frequencies(spark.sparkContext.broadcast(t))), "word bigint, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
     n = dict(counted.collect())  # a row for each template word
     t.weigh(n.get(-1, 0), np.array([n.get(i, 0) for i in range(len(t.words))], float))
     given = files.select(F.col(key).alias("key"), F.col(path).alias("path"), F.col(text).alias("text"))
-    found = stored(given.mapInArrow(_scan(spark.sparkContext.broadcast(t)), f"key {kind}, path string, license string, cosine double, file_license string, file_cosine double"), "licenses")
+    found = stored(given.mapInArrow(tidy(_scan(spark.sparkContext.broadcast(t))), f"key {kind}, path string, license string, cosine double, file_license string, file_cosine double"), "licenses")
     found = found.withColumn("dir", F.regexp_extract("path", "^(.*)/[^/]*$", 1))
 
     # directories with a licence file, and the nearest of these above each directory

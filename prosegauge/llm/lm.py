@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, RangeHash, gathered, mixed, partitions, slices, stored, table, utf8, words
+from .common import LOWER, NON_SPACE, RangeHash, gathered, mixed, partitions, slices, stored, table, tidy, utf8, words
 
 BATCH_BYTES = 8 << 20
 FILTER_BYTES = 192 << 20
@@ -295,9 +295,9 @@ def scores(docs: DataFrame, learn, held, key: str = "doc_id", text: str = "text"
     spark = docs.sparkSession
     buckets = partitions(spark)
     given = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), held.alias("held"), learn.alias("learn"))
-    batches = stored(given.mapInArrow(_tokenize, BATCHES), "lm-batches")
+    batches = stored(given.mapInArrow(tidy(_tokenize), BATCHES), "lm-batches")
 
-    requests = batches.select("batch", "vocabulary", "trained").mapInArrow(_requests(buckets), "bucket int, batch bigint, hashes binary, counts binary")
+    requests = batches.select("batch", "vocabulary", "trained").mapInArrow(tidy(_requests(buckets)), "bucket int, batch bigint, hashes binary, counts binary")
     answers = requests.groupBy("bucket").applyInArrow(_answer, "bucket int, batch bigint, totals binary, n bigint, v bigint")
     answers = stored(gathered(answers, docs), "lm-unigrams")
     n, v = answers.where("batch < 0").agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("v"), F.lit(0))).first()
@@ -308,14 +308,14 @@ def scores(docs: DataFrame, learn, held, key: str = "doc_id", text: str = "text"
     shared = None
     # a bigram seen c times takes at most c entries, so n training tokens bound the filter before it is made
     if n * BITS // 8 + 8 * buckets <= filter_bytes:
-        pairs = batches.select(*columns).mapInArrow(_pairs(buckets, False), schema)
+        pairs = batches.select(*columns).mapInArrow(tidy(_pairs(buckets, False)), schema)
         segments = stored(gathered(pairs.groupBy("bucket").applyInArrow(_segment, "bucket int, bits binary"), docs), "lm-filter")
         shared = spark.sparkContext.broadcast(Filter(buckets, [(r[0], bytes(r[1])) for r in segments.toLocalIterator()]))
     else:
-        pairs = batches.select(*columns).mapInArrow(_pairs(buckets, True), schema)
+        pairs = batches.select(*columns).mapInArrow(tidy(_pairs(buckets, True)), schema)
         levels = pairs.groupBy("bucket").applyInArrow(_levels(buckets), "bucket int, batch bigint, levels binary")
         ready = ready.join(levels.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "levels"))).alias("levels")), "batch")
-    out = ready.mapInArrow(_score(shared, buckets, n, v, mix), "key bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = ready.mapInArrow(tidy(_score(shared, buckets, n, v, mix)), "key bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     out = gathered(out, docs)
     return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
 

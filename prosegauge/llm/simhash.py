@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import LOWER, NON_SPACE, gathered, partitions, slices, stored, table, utf8, words
+from .common import LOWER, NON_SPACE, gathered, partitions, slices, stored, table, tidy, utf8, words
 from .components import components
 
 SHINGLE, SEED, RADIUS = 3, 42, 3
@@ -89,7 +89,7 @@ def with_fingerprint(docs: DataFrame, key: str = "doc_id", text: str = "text", s
                 fps = fingerprints_of(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], shingle)
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(map(signed, fps), pa.int64())], names=["key", "fp"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, fp bigint").withColumnRenamed("key", key)
+    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run), f"key {kind}, fp bigint").withColumnRenamed("key", key)
 
 
 def masks(radius: int = RADIUS, seed: int = 20160901) -> list[int]:
@@ -193,7 +193,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
         again = F.when(F.col("crowded"), F.transform(F.coalesce(*blocks), lambda s: F.xxhash64(F.col("bucket"), s["b"], s["v"]))).otherwise(F.array(F.col("bucket")))
         dealt = both.select(F.explode(again).alias("bucket"), "fp")
     dealt = dealt.select("bucket", "fp").repartition(partitions(nodes.sparkSession), "bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_links(radius), "a bigint, b bigint")
+    return dealt.mapInArrow(tidy(_links(radius)), "a bigint, b bigint")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:

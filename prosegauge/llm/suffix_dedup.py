@@ -32,7 +32,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, arrow_column, fresh, gathered, mixed, partitions, slices, spans_union, stored, table, utf8
+from .common import RangeHash, arrow_column, fresh, gathered, mixed, partitions, slices, spans_union, stored, table, tidy, utf8
 
 LENGTH, KGRAM = 100, 32
 BATCH_BYTES = 16 << 20
@@ -340,18 +340,18 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     spark = docs.sparkSession
     n = partitions(spark)
     given = _keyed(docs, key, text)
-    sent = given.mapInArrow(_find(n, length, k), SENT)
+    sent = given.mapInArrow(tidy(_find(n, length, k)), SENT)
     found = stored(gathered(sent.groupBy("bucket").applyInArrow(_compare(length), FOUND), docs), "suffix-found")
     release(spark)
 
     open_ = found.where("kind = 1").groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "lo", "hi")).alias("open"))
     picked = given.join(open_, ["doc", "mark"])
-    records = picked.mapInArrow(_suffixes(length), "doc bigint, mark bigint, anchor bigint, lo int, hi int, after binary, before binary")
+    records = picked.mapInArrow(tidy(_suffixes(length)), "doc bigint, mark bigint, anchor bigint, lo int, hi int, after binary, before binary")
     suffixes = stored(gathered(records, docs), "suffix-open")
     release(spark)
 
     ranged = suffixes.repartitionByRange(n, "after", "before")
-    settled = stored(gathered(ranged.mapInArrow(_sort(length, k, n), SORTED), docs), "suffix-sorted")
+    settled = stored(gathered(ranged.mapInArrow(tidy(_sort(length, k, n)), SORTED), docs), "suffix-sorted")
     release(spark)
 
     four = "doc bigint, mark bigint, start bigint, stop bigint"
@@ -388,7 +388,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int
     given = docs.select(F.col(key).alias("__key"), F.col(text).alias("__text"))
     given = _keyed(given, "__key", "__text", "__key")
     joined = given.join(spans, ["doc", "mark"], "left").select(F.col("__key").alias("key"), "text", "spans")
-    out = joined.mapInArrow(_cut, f"key {kind}, n_bytes bigint, removed array<struct<start:bigint,stop:bigint>>, kept binary")
+    out = joined.mapInArrow(tidy(_cut), f"key {kind}, n_bytes bigint, removed array<struct<start:bigint,stop:bigint>>, kept binary")
     return gathered(out.withColumnRenamed("key", key), docs)
 
 
@@ -408,14 +408,18 @@ def _text(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
         yield pa.StructArray.from_arrays([pa.array(kept, pa.string()), pa.array(removed, pa.int64())], names=["kept", "n_removed"])
 
 
-def kept_text(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = KGRAM) -> DataFrame:
-    """All columns of docs, and a struct __kept of the text without its repeated passages (cut characters go too) and n_removed."""
+def kept_text(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = KGRAM, into: str | None = None) -> DataFrame:
+    """All columns of docs, and last a struct of kept (the text without its repeated passages; cut characters go too) and n_removed.
+
+    The struct is named into (else __kept, or a name like it that docs doesn't have).
+    """
+    into = into or fresh(docs, "__kept")[0]
     doc, mark, found = fresh(docs, "__doc", "__mark", "__spans")
     spans = repeated_spans(docs, key, text, length, k).select(F.col("doc").alias(doc), F.col("mark").alias(mark), F.col("spans").alias(found))
     rows = docs.withColumn(doc, F.coalesce(F.col(key).cast("bigint"), F.lit(LAST))).withColumn(mark, F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     joined = rows.join(spans, [doc, mark], "left")
     cut = arrow_column(_text, "struct<kept:string,n_removed:bigint>", 2)(F.col(text), F.col(found))
-    return gathered(joined.withColumn("__kept", cut).drop(doc, mark, found), docs)
+    return gathered(joined.select("*", cut.alias(into)).drop(doc, mark, found), docs)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

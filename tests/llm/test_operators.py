@@ -335,17 +335,6 @@ def test_near_duplicates(spark):
     assert simhash.near_duplicates(frame(spark, [])).count() == 0
 
 
-def test_part_masks_miss_no_pair():
-    rng = random.Random(0)
-    most = simhash_similar.radius(0.8)
-    assert most == 13
-    masks = [int(m) for m in simhash_similar.part_masks(most)]
-    assert len(masks) == 254
-    for _ in range(3000):
-        d = sum(1 << i for i in rng.sample(range(64), most))
-        assert any(d & m == 0 for m in masks)
-
-
 def test_one_of_each(spark):
     rng = random.Random(3)
     vocabulary = [f"w{i}" for i in range(5000)]
@@ -363,6 +352,14 @@ def test_one_of_each(spark):
     assert set(CLASH) <= set(out.columns)
 
 
+def test_one_of_each_text_of_repeated_ids(spark):
+    a, b, c = ("alpha beta gamma delta " * 9, "one two three four five " * 9, "red green blue white black " * 9)
+    rows = lambda docs: sorted((r.doc_id or 0, r.text) for r in simhash_similar.one_of_each(frame(spark, docs)).collect())
+    assert rows([(3, a), (7, a), (7, b)]) == [(3, a), (7, b)]
+    assert rows([(3, a), (None, a), (None, b), (None, b), (None, c)]) == sorted([(3, a), (0, b), (0, c)])
+    assert rows([(5, a), (5, a.upper()), (5, c)]) in ([(5, a), (5, c)], [(5, a.upper()), (5, c)])
+
+
 def brute_similar(docs, shingle=5, similarity=0.8):
     """doc -> the least doc reachable over pairs of at least the Jaccard similarity."""
     sets = {}
