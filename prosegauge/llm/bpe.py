@@ -24,14 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_column, table
+from .common import arrow_column, kept_by, table, tidy
 
 #: Code points that str.split() parts at but the library's \s doesn't.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = re.compile(f"[{SPACE}]+")
-#: Chunks and words that a worker keeps in each of two generations, and the longest that it keeps.
-KEPT, KEPT_WORDS, KEPT_CHARS = 250_000, 150_000, 48
+#: Chunks and words that a worker keeps in each of two generations, and the longest that it keeps: at most some 60 MB a worker.
+KEPT, KEPT_WORDS, KEPT_CHARS = 70_000, 40_000, 32
 INF = 1 << 62
 #: Children of a node of the segment tree.
 WIDE = 24
@@ -206,16 +206,13 @@ class Encoder:
         return " ".join(ids), " ".join(tokens)
 
 
-#: The encoder of a worker, by its vocabulary; it outlives the task, and so do its tables.
-_ENCODERS: dict[int, Encoder] = {}
-
-
 def encoder_of(vocabulary: str) -> Encoder:
-    name = hash(vocabulary)
-    if name not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[name] = Encoder(Vocabulary(vocabulary))
-    return _ENCODERS[name]
+    """The encoder of a worker, by its vocabulary: it outlives the task, with its tables, until another operator works there."""
+    kept, name = kept_by("bpe"), hash(vocabulary)
+    if name not in kept:
+        kept.clear()
+        kept[name] = Encoder(Vocabulary(vocabulary))
+    return kept[name]
 
 
 def vocabulary_text(path: str) -> str:
@@ -245,7 +242,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: s
                 yield pa.RecordBatch.from_arrays([part.column(0), counts, pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["key", "n_tokens", "ids_text", "decoded"])
 
     kind = docs.schema[key].dataType.simpleString()
-    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(run, f"key {kind}, n_tokens bigint, ids_text string, decoded string")
+    out = docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(tidy(run, "bpe"), f"key {kind}, n_tokens bigint, ids_text string, decoded string")
     return out.withColumnRenamed("key", key)
 
 
@@ -260,7 +257,7 @@ def with_tokens(docs: DataFrame, vocabulary: str, text: str = "text", into: str
             cols = [a.count(" ") + 1 if a else 0 for a, _ in both], [a for a, _ in both], [b for _, b in both]
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string()))], names=["n_tokens", "ids_text", "decoded"])
 
-    return docs.withColumn(into, arrow_column(run, "struct<n_tokens:bigint,ids_text:string,decoded:string>")(F.col(text)))
+    return docs.withColumn(into, arrow_column(run, "struct<n_tokens:bigint,ids_text:string,decoded:string>", operator="bpe")(F.col(text)))
 
 
 def default_path() -> str:

@@ -11,7 +11,7 @@ root of the length, so short texts are not rejected for being short.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0 and rejected; with nothing to learn from, so is every
 text; ties go to the first language by name; repeated rows are predicted each; texts are scored whole; languages, sources and
-ids are never inputs of a prediction; extra columns are not carried.
+ids are never inputs of a prediction; ``predict`` carries all columns.
 """
 
 from __future__ import annotations
@@ -23,12 +23,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import arrow_column, slices, table, utf8
+from .common import arrow_column, fresh, slices, table, utf8
 
 ORDER = 4
-#: Bound of the sample: documents of each language, and bytes of a sampled document. Half of them fit, half calibrate.
-SAMPLE_DOCS, SAMPLE_BYTES = 800, 1 << 16
+#: Bounds of the sample: the most frequent labels, documents of each, bytes of a sampled document, and bytes of all. Half of the
+#: documents fit, half calibrate.
+MOST_LANGS, SAMPLE_DOCS, SAMPLE_BYTES, SAMPLE_TOTAL = 64, 800, 1 << 16, 32 << 20
 REJECT = 12.0
+#: Bytes of text that are scored at once.
+SCORED_BYTES = 1 << 19
 #: Turns differences of cross-entropy (nats for each character) into odds.
 SHARPNESS = 12.0
 DISCOUNT = 0.75
@@ -213,15 +216,18 @@ class Model:
         return out
 
 
-def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", docs: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES) -> Model:
-    """A model of at most docs texts of at most size bytes for each language, picked by a hash of the key."""
+def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str = "doc_id", docs: int = SAMPLE_DOCS, size: int = SAMPLE_BYTES, total: int = SAMPLE_TOTAL, most: int = MOST_LANGS) -> Model:
+    """A model of the most frequent labels, of at most docs texts of at most size bytes for each, picked by a hash of the key, and total bytes of all."""
     rank = F.pmod(F.xxhash64(F.lit(11), F.col(key)), F.lit(1 << 53))
-    counts = {r[0]: r[1] for r in labelled.where(F.col(lang).isNotNull()).groupBy(lang).count().collect()}
+    counts = {r[0]: r[1] for r in labelled.where(F.col(lang).isNotNull()).groupBy(lang).count().orderBy(F.col("count").desc(), lang).limit(most).collect()}
     if not counts:
         return Model({})
     wanted = [F.when(F.col(lang) == x, F.lit(int(min(1.0, 2.0 * docs / n) * (1 << 53)))) for x, n in counts.items()]
     picked = labelled.where(F.col(lang).isNotNull() & (rank < F.coalesce(*wanted, F.lit(0)))).where(F.octet_length(text).between(1, size)).select(F.col(lang).alias("lang"), F.col(text).alias("text"), rank.alias("rank"))
-    top = picked.withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy("rank", "text"))).where(F.col("place") <= docs).orderBy("lang", "place")
+    w = Window.partitionBy("lang").orderBy("rank", "text")
+    placed = picked.withColumn("place", F.row_number().over(w)).where(F.col("place") <= docs)
+    held = F.sum(F.octet_length("text")).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    top = placed.withColumn("bytes", held).where(F.col("bytes") <= total // len(counts)).orderBy("lang", "place")
     parts: tuple[dict[str, list[str]], dict[str, list[str]]] = {}, {}
     for r in top.select("lang", "text").toLocalIterator():
         fitted = parts[0].setdefault(r[0], [])
@@ -232,8 +238,9 @@ def fit(labelled: DataFrame, lang: str = "lang", text: str = "text", key: str =
     return model
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """All columns of docs, and a struct column __language: lang, score, cross_entropy, rejected."""
+def predict(docs: DataFrame, model: Model, text: str = "text", into: str | None = None) -> DataFrame:
+    """All columns of docs, and last a struct of lang, score, cross_entropy and rejected, named into (else __language, or a name like it that docs doesn't have)."""
+    into = into or fresh(docs, "__language")[0]
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = "struct<lang:string,score:double,cross_entropy:double,rejected:boolean>"
 
@@ -241,13 +248,13 @@ def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
         for column in batches:
             _, offs = utf8(column)
             rows = []
-            for i, j in slices(offs):
+            for i, j in slices(offs, SCORED_BYTES):
                 rows += shared.value.predict(column.slice(i, j - i).to_pylist())
             cols = list(zip(*rows)) if rows else [(), (), (), ()]
             kinds = pa.string(), pa.float64(), pa.float64(), pa.bool_()
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["lang", "score", "cross_entropy", "rejected"])
 
-    return docs.withColumn("__language", arrow_column(run, schema)(F.col(text)))
+    return docs.select("*", arrow_column(run, schema)(F.col(text)).alias(into))
 
 
 def held_out(key: str = "doc_id", folds: int = 3, fold: int = 1) -> Column:
