@@ -30,11 +30,23 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Spark's setting by which an execution's shuffle files go when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, label: str) -> DataFrame:
-    """Write a table to shared storage and read it again: cuts the lineage and survives lost executors."""
-    path = work_dir(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """Write a table to shared storage and read it again: cuts the lineage and survives lost executors.
+
+    The shuffle files of the write go at its end: nothing reads them again.
+    """
+    spark = df.sparkSession
+    path, before = work_dir(spark, label), spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 #: Bytes of input for each task that writes, and the fewest such tasks.
@@ -212,6 +224,11 @@ def binary(arrays: list[np.ndarray | bytes]) -> pa.Array:
     return pa.array([x if isinstance(x, bytes) else x.tobytes() for x in arrays], pa.binary())
 
 
+def among(x: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    """Which elements are in an ordered array."""
+    return ordered[np.minimum(np.searchsorted(ordered, x), len(ordered) - 1)] == x if len(ordered) else np.zeros(len(x), bool)
+
+
 def spans_union(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Maximal runs of overlapping or touching half-open ranges."""
     if not len(starts):

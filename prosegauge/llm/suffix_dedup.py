@@ -8,7 +8,8 @@ the least hash, on ties the rightmost. Equal strings have the same anchor at the
 1. Each batch of documents finds its anchors and, for each, the ``context``: all strings that share it. Repeats of a context
    within a batch are settled there; one of each goes, as hashes, to a bucket of the hash space.
 2. A bucket keeps what occurs twice. Later occurrences of a whole context go at once; contexts that share the k-gram but
-   differ are open.
+   differ are open. Buckets are of k-grams; those of k-grams that a sample shows to be frequent are dealt out by context, and all
+   their contexts are open, so that a line which many documents share is no one bucket's.
 3. Open suffixes, with the bytes on both sides of the anchor, are range-partitioned by splitters sampled from them: by the
    bytes from the anchor on, then by those before it. Each bucket sorts them by multikey quicksort, and for each offset groups
    strings by their common prefix and what stands before the anchor.
@@ -22,7 +23,6 @@ so a character may be cut; extra columns are carried by ``kept_text`` only.
 
 from __future__ import annotations
 
-import gc
 import hashlib
 from collections.abc import Iterator
 
@@ -32,10 +32,13 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, arrow_column, fresh, gathered, mixed, partitions, slices, spans_union, stored, table, tidy, utf8
+from .common import RangeHash, among, arrow_column, fresh, gathered, mixed, partitions, slices, spans_union, stored, table, tidy, utf8
 
 LENGTH, KGRAM = 100, 32
-BATCH_BYTES = 16 << 20
+#: Bytes of text that a task settles at once, and those for each bucket; open suffixes for each range.
+BATCH_BYTES, BUCKET_BYTES, RANGE_ROWS = 16 << 20, 16 << 20, 200_000
+#: Frequent k-grams are those seen so often in a sample: at most the share of the documents, and the bytes.
+SEEN, SHARE, SAMPLE_BYTES = 24, 1 / 16, 1 << 30
 _PLACE = np.uint64((1 << 31) - 1)
 LAST = (1 << 63) - 1
 
@@ -126,7 +129,9 @@ def _settle(cols: list[np.ndarray], length: int) -> tuple[np.ndarray, list[np.nd
     return order[new], _merged(doc[later], mark[later], start[later], start[later] + (hi - lo)[later] + length)
 
 
-def _find(buckets: int, length: int, k: int):
+def _find(buckets: int, length: int, k: int, frequent):
+    """frequent: a broadcast of the ordered frequent k-grams."""
+
     def flush(parts: list[list[np.ndarray]]) -> Iterator[pa.RecordBatch]:
         cols = [np.concatenate(x) for x in zip(*parts)]
         # only k-grams that occur twice in the batch need the sort
@@ -135,7 +140,8 @@ def _find(buckets: int, length: int, k: int):
         kept, spans = _settle([x[twice] for x in cols], length)
         rest = np.sort(np.concatenate([np.flatnonzero(count[inverse] == 1), twice[kept]]))
         cols = [x[rest] for x in cols]
-        b = (((mixed(cols[0], 9) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
+        to = np.where(among(cols[0], frequent.value), cols[0] ^ cols[1], cols[0])
+        b = (((mixed(to, 9) >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(b, kind="stable")
         for part in np.split(order, np.flatnonzero(np.diff(b[order])) + 1):
             if len(part):
@@ -172,7 +178,7 @@ def _found(kind: int, doc, mark, start, stop, lo=None, hi=None) -> pa.Table:
     return pa.table({"kind": pa.array(np.full(n, kind, np.int32)), "doc": pa.array(doc, pa.int64()), "mark": pa.array(mark, pa.int64()), "start": pa.array(start, pa.int64()), "stop": pa.array(stop, pa.int64()), "lo": low, "hi": high})
 
 
-def _compare(length: int):
+def _compare(length: int, frequent):
     def run(group: pa.Table) -> pa.Table:
         """Settled spans and open anchors of a bucket."""
         out = []
@@ -186,13 +192,12 @@ def _compare(length: int):
             ordered = np.sort(grams)
             twice = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
             del ordered
-            at = np.minimum(np.searchsorted(twice, grams), max(0, len(twice) - 1))
-            pick = np.flatnonzero(twice[at] == grams) if len(twice) else np.zeros(0, np.int64)
+            pick = np.flatnonzero(among(grams, twice) | among(grams, frequent.value))
             cols = [np.concatenate([x[i] for x in cols])[pick] for i in range(len(ANCHOR))]
             first, later = _settle(cols, length)
             out.append(_found(0, *later))
             gram, _, doc, mark, start, lo, hi = (x[first] for x in cols)
-            differ = np.zeros(len(gram), bool)
+            differ = among(gram, frequent.value)
             if len(gram) > 1:
                 same = gram[1:] == gram[:-1]
                 differ[1:] |= same
@@ -325,34 +330,47 @@ def _ends(length: int):
     return run
 
 
-def release(spark: SparkSession) -> None:
-    """Lets the cluster drop the files of finished shuffles, which go when the driver's handles do."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def _keyed(docs: DataFrame, key: str, text: str, *more: str) -> DataFrame:
     return docs.select(F.coalesce(F.col(key).cast("bigint"), F.lit(LAST)).alias("doc"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("mark"), F.col(text).alias("text"), *more)
 
 
+def _grams(length: int, k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offs = utf8(batch.column(0))
+            for i, j in slices(offs):
+                row, gram = anchors(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i], length, k)[:2]
+                gram = np.unique(np.stack([row.astype(np.uint64), gram]), axis=1)[1] if len(row) else gram  # once a document
+                yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64))], names=["gram"])
+
+    return run
+
+
+def frequent_grams(given: DataFrame, size: int, length: int = LENGTH, k: int = KGRAM) -> np.ndarray:
+    """The k-grams that SEEN documents of a sample have at an anchor. size: bytes of all texts, so the sample and the list are bounded."""
+    share = min(SHARE, SAMPLE_BYTES / max(1, size))
+    some = given.where(F.pmod(F.xxhash64(F.lit(3), "doc", "mark"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    counts = some.select("text").mapInArrow(tidy(_grams(length, k)), "gram bigint").groupBy("gram").count().where(F.col("count") >= SEEN)
+    return np.sort(np.array([r[0] for r in counts.select("gram").collect()], np.int64).view(np.uint64))
+
+
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, k: int = KGRAM) -> DataFrame:
     """doc, mark, spans (array of start, stop in bytes; they may overlap) of each document that repeats earlier text."""
     spark = docs.sparkSession
-    n = partitions(spark)
     given = _keyed(docs, key, text)
-    sent = given.mapInArrow(tidy(_find(n, length, k)), SENT)
-    found = stored(gathered(sent.groupBy("bucket").applyInArrow(_compare(length), FOUND), docs), "suffix-found")
-    release(spark)
+    size = given.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(partitions(spark), -(-size // BUCKET_BYTES))
+    frequent = spark.sparkContext.broadcast(frequent_grams(given, size, length, k))
+    sent = given.mapInArrow(tidy(_find(n, length, k, frequent)), SENT)
+    found = stored(gathered(sent.groupBy("bucket").applyInArrow(_compare(length, frequent), FOUND), docs), "suffix-found")
 
     open_ = found.where("kind = 1").groupBy("doc", "mark").agg(F.collect_set(F.struct("start", "lo", "hi")).alias("open"))
     picked = given.join(open_, ["doc", "mark"])
     records = picked.mapInArrow(tidy(_suffixes(length)), "doc bigint, mark bigint, anchor bigint, lo int, hi int, after binary, before binary")
     suffixes = stored(gathered(records, docs), "suffix-open")
-    release(spark)
 
-    ranged = suffixes.repartitionByRange(n, "after", "before")
+    ranged = suffixes.repartitionByRange(max(partitions(spark), -(-suffixes.count() // RANGE_ROWS)), "after", "before")
     settled = stored(gathered(ranged.mapInArrow(tidy(_sort(length, k, n)), SORTED), docs), "suffix-sorted")
-    release(spark)
 
     four = "doc bigint, mark bigint, start bigint, stop bigint"
     later = settled.where("n IS NOT NULL").select("bucket", "n", "packed").groupBy("bucket").applyInArrow(_ends(length), four)
