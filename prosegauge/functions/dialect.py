@@ -31,9 +31,9 @@ def strip(text: Column) -> Column:
     return F.when(bare, text).otherwise(F.regexp_replace(text, f"^{WS}+|{WS}+\\z", ""))
 
 
-def rounded(value: Column, digits: int) -> Column:
-    """Half-up rounding of the decimal form, which all engines do alike."""
-    return F.round(value.cast("decimal(18,10)"), digits).cast("double")
+def rounded(value: Column, digits: int, wide: bool = False) -> Column:
+    """Half-up rounding of the decimal form, which all engines do alike; values from 1e8 on need the wide form, which is slower."""
+    return F.round(value.cast("decimal(38,10)" if wide else "decimal(18,10)"), digits).cast("double")
 
 
 def occurrences(text: Column, literal: str) -> Column:

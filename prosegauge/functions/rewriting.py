@@ -7,21 +7,18 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType
+from pyspark.sql.types import ArrayType, StringType
 
 from . import lexicon as L
 from .dialect import strip
 
 _EDGE = " ，,、；;：:"
-_HEAD = "(?P<prefix>[^。！？!?]*?)"
-_X, _M, _Y, _SHORT = "[^，。；！？!?]{1,24}", "[^，。；！？!?]{1,32}", "[^。；！？!?]{1,48}", "[^。；！？!?]{1,32}"
-_GAP = "[，,、 ]*"
 #: The patterns from special to general, and what goes before the kept clause.
 NOT_BUT = [
-    (re.compile(f"{_HEAD}真正重要的不是{_X}{_GAP}而是(?P<y>{_Y})"), "更要紧的是"),
-    (re.compile(f"{_HEAD}不是关于{_X}{_GAP}而是关于(?P<y>{_SHORT})"), ""),
-    (re.compile(f"{_HEAD}不是{_X}{_GAP}也不是{_M}{_GAP}而是(?P<y>{_Y})"), ""),
-    (re.compile(f"{_HEAD}不是{_X}{_GAP}而是(?P<y>{_Y})"), ""),
+    (re.compile("(?P<prefix>[^。！？!?]*?)真正重要的不是(?P<x>[^，。；！？!?]{1,24})[，,、 ]*而是(?P<y>[^。；！？!?]{1,48})"), "更要紧的是"),
+    (re.compile("(?P<prefix>[^。！？!?]*?)不是关于(?P<x>[^，。；！？!?]{1,24})[，,、 ]*而是关于(?P<y>[^。；！？!?]{1,32})"), ""),
+    (re.compile("(?P<prefix>[^。！？!?]*?)不是(?P<x>[^，。；！？!?]{1,24})[，,、 ]*也不是(?P<m>[^，。；！？!?]{1,32})[，,、 ]*而是(?P<y>[^。；！？!?]{1,48})"), ""),
+    (re.compile("(?P<prefix>[^。！？!?]*?)不是(?P<x>[^，。；！？!?]{1,24})[，,、 ]*而是(?P<y>[^。；！？!?]{1,48})"), ""),
 ]
 LINKED = ("的", "反而", "其实", "就是")
 
@@ -41,9 +38,10 @@ def keep_positive(text: str) -> str:
     return text
 
 
-@F.pandas_udf(StringType())
-def not_but(text: pd.Series) -> pd.Series:
-    return text.map(lambda t: t if t is None else keep_positive(t))
+@F.pandas_udf(ArrayType(StringType()))
+def not_but(parts: pd.Series, gated: pd.Series) -> pd.Series:
+    """The paragraphs of each document, the gated ones rewritten."""
+    return pd.Series([None if p is None else [keep_positive(t) if g else t for t, g in zip(p, gates)] for p, gates in zip(parts, gated)], dtype=object)
 
 
 def simple(text: Column, codes: Column) -> Column:

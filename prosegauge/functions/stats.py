@@ -48,13 +48,13 @@ def uniform_groups(lengths: Column, tolerance: int = TOLERANCE) -> Column:
     return F.aggregate(lengths, start, step)["groups"]
 
 
-def features(text: Column) -> Column:
-    """All features as a struct; the arrays that several need are made once.
+def features(text: Column, names: list[str] | None = None) -> Column:
+    """The named features (all: those of FEATURES) as a struct; the arrays that several need are made once, and only if one does.
 
     All listed words and patterns have a Chinese character, so a text without one isn't searched for them.
     """
 
-    def of(x: Column) -> Column:
+    def of(x: Column) -> dict:
         lengths, found = x["lengths"], x["words"]
         searched = lambda count: F.when(F.size(found) > 0, count).otherwise(F.lit(0).cast("bigint"))
         n = F.size(lengths)
@@ -66,30 +66,43 @@ def features(text: Column) -> Column:
         deltas = F.aggregate(F.zip_with(F.slice(lengths, 2, F.greatest(n - 1, F.lit(0))), F.slice(lengths, 1, F.greatest(n - 1, F.lit(0))), lambda a, b: F.abs(a - b)), F.lit(0).cast("bigint"), lambda a, v: a + v)
         extreme = F.size(F.filter(lengths, lambda v: (2 * v * n <= total) | (2 * v * n >= 3 * total)))
         words = F.size(found)
-        return F.struct(
-            F.length(text).cast("bigint").alias("char_count"),
-            F.size(kept(F.split(text, BREAK))).cast("bigint").alias("paragraph_count"),
-            n.cast("bigint").alias("sentence_count"),
-            words.cast("bigint").alias("word_count"),
-            rounded(mean, 2).alias("sentence_length_mean"),
-            rounded(spread, 2).alias("sentence_length_std"),
-            F.when(mean > 0, rounded(spread / mean, 4)).otherwise(F.lit(0.0)).alias("sentence_length_cv"),
-            F.when(n >= 2, rounded(deltas / (n - 1), 4)).otherwise(F.lit(0.0)).alias("adjacent_length_delta_mean"),
-            _ratio(extreme, n).alias("extreme_sentence_ratio"),
-            F.size(F.array_distinct(found)).cast("bigint").alias("unique_words"),
-            _ratio(F.size(F.array_distinct(found)), words).alias("lexical_diversity"),
-            F.when(F.length(text) > 0, rounded(searched(connectors(text)) / F.length(text) * 100, 4)).otherwise(F.lit(0.0)).alias("connector_density"),
-            _ratio(searched(matches(text, PASSIVE)), n).alias("passive_ratio"),
-            _ratio(occurrences(text, "，") + occurrences(text, ","), n).alias("comma_density"),
-            _ratio(searched(matches(text, DASH)), n).alias("dash_density"),
-            searched(matches(text, THREE_PART)).alias("three_part_enumeration_count"),
-            searched(matches(text, META)).alias("meta_discourse_count"),
-            uniform_groups(lengths).cast("bigint").alias("uniform_sentence_group_count"),
-            lengths.alias("sentence_lengths"),
-        )
-
+        return {
+            "sentence_count": lambda: n.cast("bigint"),
+            "word_count": lambda: words.cast("bigint"),
+            "sentence_length_mean": lambda: rounded(mean, 2),
+            "sentence_length_std": lambda: rounded(spread, 2),
+            "sentence_length_cv": lambda: F.when(mean > 0, rounded(spread / mean, 4)).otherwise(F.lit(0.0)),
+            "adjacent_length_delta_mean": lambda: F.when(n >= 2, rounded(deltas / (n - 1), 4)).otherwise(F.lit(0.0)),
+            "extreme_sentence_ratio": lambda: _ratio(extreme, n),
+            "unique_words": lambda: F.size(F.array_distinct(found)).cast("bigint"),
+            "lexical_diversity": lambda: _ratio(F.size(F.array_distinct(found)), words),
+            "connector_density": lambda: F.when(F.length(text) > 0, rounded(searched(connectors(text)) / F.length(text) * 100, 4)).otherwise(F.lit(0.0)),
+            "passive_ratio": lambda: _ratio(searched(matches(text, PASSIVE)), n),
+            "comma_density": lambda: _ratio(occurrences(text, "，") + occurrences(text, ","), n),
+            "dash_density": lambda: _ratio(searched(matches(text, DASH)), n),
+            "three_part_enumeration_count": lambda: searched(matches(text, THREE_PART)),
+            "meta_discourse_count": lambda: searched(matches(text, META)),
+            "uniform_sentence_group_count": lambda: uniform_groups(lengths).cast("bigint"),
+            "sentence_lengths": lambda: lengths,
+        }
+
+    wanted = names or FEATURES
+    plain = {"char_count": lambda: F.length(text).cast("bigint"), "paragraph_count": lambda: F.size(kept(F.split(text, BREAK))).cast("bigint")}
+    if set(wanted) <= set(plain):
+        return F.struct(*[plain[c]().alias(c) for c in wanted])
     arrays = F.struct(F.transform(stat_sentences(text), lambda s: F.length(s)).alias("lengths"), F.regexp_extract_all(text, F.lit(WORD_RUN), F.lit(0)).alias("words"))
-    return _let(arrays, of)
+    return _let(arrays, lambda x: F.struct(*[(plain | of(x))[c]().alias(c) for c in wanted]))
+
+
+FEATURES = [
+    "char_count", "paragraph_count", "sentence_count", "word_count", "sentence_length_mean", "sentence_length_std", "sentence_length_cv", "adjacent_length_delta_mean", "extreme_sentence_ratio",
+    "unique_words", "lexical_diversity", "connector_density", "passive_ratio", "comma_density", "dash_density", "three_part_enumeration_count", "meta_discourse_count", "uniform_sentence_group_count", "sentence_lengths",
+]
+#: Those that anomalies() reads.
+JUDGED = [
+    "sentence_count", "word_count", "sentence_length_cv", "adjacent_length_delta_mean", "extreme_sentence_ratio", "lexical_diversity", "connector_density", "passive_ratio", "dash_density",
+    "three_part_enumeration_count", "meta_discourse_count", "uniform_sentence_group_count",
+]
 
 
 #: Anomaly types in order, with label, hint and dimensions; predicates, scores and descriptions follow in anomalies().

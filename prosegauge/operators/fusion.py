@@ -38,7 +38,7 @@ def anomalies(paragraphs: DataFrame) -> DataFrame:
     """doc_id, paragraph_index, text, anomalies of eligible paragraphs that have any; the cheap test comes first."""
     fit = paragraphs.where(~F.col("in_code_fence") & B.eligible(F.col("text")))
     # explode keeps the optimizer from copying the features into each of their uses
-    found = fit.select("doc_id", "paragraph_index", "text", F.explode(F.array(S.features(F.col("text")))).alias("features"))
+    found = fit.select("doc_id", "paragraph_index", "text", F.explode(F.array(S.features(F.col("text"), S.JUDGED))).alias("features"))
     return found.select("doc_id", "paragraph_index", "text", S.anomalies(F.col("features")).alias("anomalies")).where(F.size("anomalies") > 0)
 
 
@@ -79,12 +79,20 @@ def segment_score(segments_: Column, total: Column, prefix: str = "") -> Column:
     return rounded(total_score / F.greatest(total, F.lit(1)), 4)
 
 
-def reports(docs: DataFrame, found: DataFrame) -> DataFrame:
-    """One row for each document: basic info, statistics, scores, summary and paragraphs by risk; none are left out."""
+#: Features that a report shows, and those that its scores need.
+BASIC = ["char_count", "sentence_count", "paragraph_count"]
+STATISTICS = ["sentence_length_cv", "adjacent_length_delta_mean", "extreme_sentence_ratio", "connector_density", "passive_ratio", "lexical_diversity"]
+
+
+def reports(docs: DataFrame, found: DataFrame, statistics: bool = True) -> DataFrame:
+    """One row for each document: basic info, statistics, scores, summary and paragraphs by risk; none are left out.
+
+    Without statistics there are no basic info and statistics, and no features of whole texts are computed.
+    """
     row = F.struct((-F.col("risk_score")).alias("order"), F.coalesce("paragraph_index", F.lit(0)).alias("place"), "paragraph_index", "text", "risk_score", "risk_level", "reasons", "suggestions", "detection_method", "signals")
     grouped = found.groupBy("doc_id").agg(F.array_sort(F.collect_list(row)).alias("segments"))
     kind = grouped.schema["segments"].dataType
-    info = docs.select("doc_id", F.explode(F.array(S.features(B.body(F.coalesce("text", F.lit("")))))).alias("f"), F.size(B.paragraphs(F.coalesce("text", F.lit("")))).cast("bigint").alias("checked"))
+    info = docs.select("doc_id", F.explode(F.array(S.features(B.body(F.coalesce("text", F.lit(""))), BASIC + STATISTICS if statistics else ["paragraph_count"]))).alias("f"))
     all_ = info.join(grouped, "doc_id", "left").withColumn("segments", F.coalesce("segments", F.array().cast(kind)))
     seg, pars = F.col("segments"), F.col("f.paragraph_count")
     count = lambda level: F.size(F.filter(seg, lambda s: s["risk_level"] == level)).cast("bigint")
@@ -92,11 +100,15 @@ def reports(docs: DataFrame, found: DataFrame) -> DataFrame:
     issues = F.filter(F.transform(F.slice(seg, 1, 3), lambda s: F.get(s["signals"], F.lit(0))["code"]), lambda x: x.isNotNull())
     review = F.slice(F.array_distinct(F.filter(F.flatten(F.transform(seg, lambda s: F.transform(s["signals"], lambda x: x["review_signal"]))), lambda x: x.isNotNull())), 1, 5)
     fit_risk = segment_score(seg, pars, "zh.fit.")
+    of_text = [
+        F.struct(F.col("f.char_count").alias("total_chars"), F.col("f.sentence_count").alias("total_sentences"), pars.alias("total_paragraphs")).alias("basic_info"),
+        F.struct(*[F.col(f"f.{x}").alias(x) for x in STATISTICS]).alias("statistics"),
+    ] if statistics else []
     return all_.select(
         "doc_id",
         F.struct(segment_score(seg, pars).alias("overall_risk"), fit_risk.alias("author_fit_risk"), rounded(F.greatest(F.lit(0.0), 1 - fit_risk), 4).alias("author_fit"), F.when(F.size(seg) > 0, 0.6).otherwise(0.3).alias("confidence")).alias("document_score"),
-        F.struct(F.col("f.char_count").alias("total_chars"), F.col("f.sentence_count").alias("total_sentences"), pars.alias("total_paragraphs")).alias("basic_info"),
+        *of_text[:1],
         F.transform(seg, lambda s: F.struct(s["paragraph_index"].alias("paragraph_index"), excerpt(s["text"], 200).alias("text"), excerpt(s["text"], 120).alias("text_excerpt"), s["risk_score"].alias("risk_score"), s["risk_level"].alias("risk_level"), s["reasons"].alias("reasons"), s["suggestions"].alias("rewrite_hints"), s["detection_method"].alias("detection_method"), s["signals"].alias("signals"))).alias("paragraphs"),
-        F.struct(*[F.col(f"f.{x}").alias(x) for x in ("sentence_length_cv", "adjacent_length_delta_mean", "extreme_sentence_ratio", "connector_density", "passive_ratio", "lexical_diversity")]).alias("statistics"),
-        F.struct(F.col("checked").alias("total_segments_checked"), F.size(seg).cast("bigint").alias("suspected_segments_count"), high.alias("high_risk_count"), medium.alias("medium_risk_count"), issues.alias("top_issues"), review.alias("top_review_signals"), F.when((high > 0) | (medium > 0), "retry").otherwise("accept").alias("stop_or_retry"), F.lit(L.NOTE).alias("note")).alias("summary"),
+        *of_text[1:],
+        F.struct(pars.alias("total_segments_checked"), F.size(seg).cast("bigint").alias("suspected_segments_count"), high.alias("high_risk_count"), medium.alias("medium_risk_count"), issues.alias("top_issues"), review.alias("top_review_signals"), F.when((high > 0) | (medium > 0), "retry").otherwise("accept").alias("stop_or_retry"), F.lit(L.NOTE).alias("note")).alias("summary"),
     )

@@ -11,9 +11,10 @@ from ..functions import blocks as B
 def paragraphs(docs: DataFrame) -> DataFrame:
     """doc_id, paragraph_index, text, in_code_fence of each paragraph; a document without any has no row."""
     split = docs.select("doc_id", B.paragraphs(F.col("text")).alias("parts"))
-    # inside a fence: an odd number of fences before it; only documents with a fence are folded
-    counts = F.transform("parts", B.fences)
-    inside = F.transform(counts, lambda n, i: (n > 0) | (F.aggregate(F.slice(counts, F.lit(1), i), F.lit(0).cast("bigint"), lambda a, x: a + x) % 2 == 1))
+    # a part has no empty line within, so one parts them again when they are joined; the pieces between fences are outside and inside in turn
+    pieces = F.split(F.array_join("parts", "\n\n"), B.FENCE)
+    marked = F.array_join(F.transform(pieces, lambda x, i: F.replace(x, F.lit("\n\n"), F.when(i % 2 == 1, F.lit("\n\n1")).otherwise(F.lit("\n\n0")))), B.FENCE)
+    inside = F.transform(F.split(F.concat(F.lit("0"), marked), "\n\n"), lambda x: F.startswith(x, F.lit("1")) | F.contains(x, F.lit(B.FENCE)))
     fenced = F.when(F.exists("parts", lambda p: F.contains(p, F.lit(B.FENCE))), inside).otherwise(F.transform("parts", lambda p: F.lit(False)))
     rows = split.select("doc_id", F.posexplode(F.arrays_zip(F.col("parts").alias("text"), fenced.alias("in_code_fence"))).alias("paragraph_index", "p"))
     return rows.select("doc_id", "paragraph_index", F.col("p.text").alias("text"), F.col("p.in_code_fence").alias("in_code_fence"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -30,10 +31,28 @@ class IndexRuntimeError(RuntimeError):
     """The index can't be read or written."""
 
 
+def bigram_counts(texts: list[str | None], dimensions: int = DIMENSIONS) -> np.ndarray:
+    """Counts of hashed character bigrams, a row for each text; a single character is a bigram of its own, a null has none."""
+    texts = [t or "" for t in texts]
+    size = np.array([len(t) for t in texts], np.int64)
+    one = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    two, keep, last = np.append(one[1:], np.uint64(0)), np.ones(len(one), bool), (np.cumsum(size) - 1)[size > 0]
+    two[last] = 0
+    keep[last] = size[size > 0] == 1
+    h = (one << np.uint64(32) | two) * np.uint64(0x9E3779B97F4A7C15)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(32)
+    place = np.repeat(np.arange(len(texts)), size) * dimensions + (h % np.uint64(dimensions)).astype(np.int64)
+    return np.bincount(place[keep], minlength=len(texts) * dimensions).reshape(len(texts), dimensions).astype(float)
+
+
 def embedding(text: Column, dimensions: int = DIMENSIONS) -> Column:
-    """Counts of hashed character bigrams."""
-    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 1)), lambda i: F.pmod(F.xxhash64(F.substr(text, i, F.lit(2))), F.lit(dimensions)).cast("int"))
-    return F.transform(F.sequence(F.lit(0), F.lit(dimensions - 1)), lambda d: F.size(F.filter(pairs, lambda p: p == d)).cast("double"))
+    """Counts of hashed character bigrams, as a vectorised function."""
+
+    @F.pandas_udf("array<double>")
+    def counted(texts: pd.Series) -> pd.Series:
+        return pd.Series(list(bigram_counts(texts.tolist(), dimensions)), dtype=object)
+
+    return counted(text)
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -43,22 +62,42 @@ def cosine(a: Column, b: Column) -> Column:
 
 
 def index_rows(cases: DataFrame) -> DataFrame:
-    """id, document, metadata, vector of each case."""
-    fields = F.struct("label", "lang", "genres", "diagnostic_dimensions", "rewrite_hint", "severity")
-    return cases.select("id", library.document().alias("document"), fields.alias("metadata")).withColumn("vector", embedding(F.col("document")))
+    """id, document, metadata (the whole record) and vector of each case."""
+    return cases.select("id", library.document().alias("document"), F.struct(*cases.columns).alias("metadata")).withColumn("vector", embedding(F.col("document")))
+
+
+def _versions(spark: SparkSession, path: str) -> list[int]:
+    """The versions of an index that were written to the end."""
+    try:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/version=*/_SUCCESS")
+        found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    except Exception as e:
+        raise IndexUnavailableError(str(e)) from e
+    return sorted(int(x.getPath().getParent().getName().partition("=")[2]) for x in found or [])
+
+
+def open_index(spark: SparkSession, path: str) -> DataFrame:
+    """The last version of an index."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise IndexUnavailableError(f"no index at {path}")
+    try:
+        return spark.read.parquet(f"{path.rstrip('/')}/version={versions[-1]}")
+    except Exception as e:
+        raise IndexRuntimeError(str(e)) from e
 
 
-def upsert(spark: SparkSession, path: str, rows: DataFrame, version: int) -> DataFrame:
-    """The index with rows replaced by id, written as a new version beside the old one, which stays readable."""
-    old = f"{path}/version={version - 1}"
+def upsert(spark: SparkSession, path: str, rows: DataFrame) -> DataFrame:
+    """The index with rows added or replaced by id, written as a new version beside the old ones, which stay readable."""
+    versions = _versions(spark, path)
     try:
-        if version > 0:
-            kept = spark.read.parquet(old).join(rows, "id", "left_anti")
-            rows = kept.unionByName(rows)
-        rows.write.mode("overwrite").parquet(f"{path}/version={version}")
-        return spark.read.parquet(f"{path}/version={version}")
+        if versions:
+            old = spark.read.parquet(f"{path.rstrip('/')}/version={versions[-1]}")
+            rows = old.join(rows, "id", "left_anti").unionByName(rows)
+        rows.write.mode("overwrite").parquet(f"{path.rstrip('/')}/version={versions[-1] + 1 if versions else 0}")
     except Exception as e:
         raise IndexRuntimeError(str(e)) from e
+    return open_index(spark, path)
 
 
 def where(rows: DataFrame, lang: str | None = None, genres: list[str] | None = None) -> DataFrame:

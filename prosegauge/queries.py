@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import blocks as B
@@ -17,7 +17,6 @@ from .functions import rewriting as RW
 from .functions import stats as S
 from .functions.dialect import BREAK, WS, quoted, rounded, sql_occurrences, sql_rounded, sql_strip
 from .operators import fusion, probability, retrieval, rules
-from .operators import rewrite as rewrites
 from .operators.paragraphs import paragraphs, sentences
 from .plans import analyze as plans
 from .sources import library
@@ -148,7 +147,7 @@ MATCHED = "CASE WHEN m.type = 'regex' THEN regexp_extract(p.text, '(?m)' || m.pa
 
 
 def hits_sql(source: str = "paragraphs") -> str:
-    return f"{matchers_sql()},\nall_hits AS (SELECT doc_id, paragraph_index, p.text, m.*, {MATCHED} AS matched_text FROM (SELECT * FROM {source} WHERE regexp_matches(text, '{rules.CJK}')) p, matchers m),\nhits AS (SELECT * FROM all_hits WHERE matched_text <> '')"
+    return f"{matchers_sql()},\nall_hits AS (SELECT doc_id, paragraph_index, p.text, m.*, {MATCHED} AS matched_text FROM {source} p, matchers m),\nhits AS (SELECT * FROM all_hits WHERE matched_text <> '')"
 
 
 PRODUCT = "list_reduce(list_prepend(1.0::DOUBLE, list_transform(list(confidence ORDER BY matcher_seq), lambda c: 1.0::DOUBLE - c)), lambda a, b: a * b)"
@@ -285,7 +284,7 @@ def index_upsert(spark, sf_dir):
 
 
 def _hits(spark, sf_dir) -> DataFrame:
-    return rules.rule_hits(paragraphs(corpus(spark, sf_dir)), library.matchers(library.load_cases(spark)), rules.CJK, fuzzy_too=False)
+    return rules.rule_hits(paragraphs(corpus(spark, sf_dir)), library.matchers(library.load_cases(spark)), fuzzy_too=False)
 
 
 def _hits_of(kinds: str) -> str:
@@ -413,9 +412,9 @@ def review_signals(spark, sf_dir):
     return signals.select("doc_id", "paragraph_index", F.col("s.code").alias("code"), F.array_join("s.review_signals", ",").alias("review_signals"), F.col("s.review_signal").alias("review_signal"))
 
 
-def _reports(spark, sf_dir) -> DataFrame:
-    docs = corpus(spark, sf_dir)
-    return fusion.reports(docs, _segments(spark, sf_dir))
+def _scores(spark, sf_dir) -> DataFrame:
+    """Scores and summaries; basic info and statistics are those of sentence_length_stats and others."""
+    return fusion.reports(corpus(spark, sf_dir), _segments(spark, sf_dir), statistics=False)
 
 
 ORDERED = "PARTITION BY doc_id ORDER BY risk_score DESC, paragraph_index"
@@ -434,7 +433,7 @@ SELECT doc_id, CAST(len(parts) AS BIGINT) AS total_segments_checked, CAST(coales
 FROM split_ LEFT JOIN counts USING (doc_id) LEFT JOIN issues USING (doc_id) LEFT JOIN five USING (doc_id)""")
 def doc_summary(spark, sf_dir):
     """Counts, top issues and review signals of each document."""
-    s = _reports(spark, sf_dir).select("doc_id", "summary.*")
+    s = _scores(spark, sf_dir).select("doc_id", "summary.*")
     return s.select("doc_id", "total_segments_checked", "suspected_segments_count", "high_risk_count", "medium_risk_count", F.array_join("top_issues", ",").alias("top_issues"), F.array_join("top_review_signals", ",").alias("top_review_signals"), "stop_or_retry")
 
 
@@ -446,7 +445,7 @@ final AS (SELECT doc_id, {sql_rounded('coalesce(every, 0.0) / greatest(len(parts
 SELECT doc_id, overall_risk, author_fit_risk, {sql_rounded('greatest(0.0::DOUBLE, 1 - author_fit_risk)', 4)} AS author_fit, CASE WHEN any_segment THEN 0.6::DOUBLE ELSE 0.3::DOUBLE END AS confidence FROM final""")
 def doc_scores(spark, sf_dir):
     """Risk, author fit and confidence of each document."""
-    return _reports(spark, sf_dir).select("doc_id", "document_score.*")
+    return _scores(spark, sf_dir).select("doc_id", "document_score.*")
 
 
 @query(f"WITH {SPLIT} SELECT doc_id, paragraph_index, CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS text, CASE WHEN length(text) > 120 THEN substr(text, 1, 120) || '...' ELSE text END AS text_excerpt FROM paragraphs")
@@ -472,96 +471,59 @@ def legacy_detection(spark, sf_dir):
 
 # ---- retrieval ---------------------------------------------------------------------------------------------------------------
 
-#: The index is the vectors of the lowest numbers, a fixed library of its own; every vector queries it.
-INDEX_ROWS = 64
+#: Rows of these numbers are queries against all rows.
+QUERY_EVERY = 20
 
 
 def _vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
-    index = rows.where(F.col("vec_id") < INDEX_ROWS).select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label")
-    return rows.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"), "label"), index
+    """Queries and index: every row is indexed. The text of a vector is that of the document of its number, if there is one."""
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("document"))
+    index = rows.join(texts, "vec_id", "left").withColumnRenamed("vec_id", "id")
+    return index.where(F.col("id") % QUERY_EVERY == 0).select(F.col("id").alias("query_id"), "vector", F.col("document").alias("text")), index
 
 
 COSINE = "(list_reduce(list_prepend(0.0::DOUBLE, list_transform(range(1, len(q) + 1), lambda i: q[i]::DOUBLE * v[i]::DOUBLE)), lambda a, b: a + b) / (sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(q, lambda x: x::DOUBLE * x::DOUBLE)), lambda a, b: a + b)) * sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(v, lambda x: x::DOUBLE * x::DOUBLE)), lambda a, b: a + b))))"
-KNN = f"""pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.embedding AS q, b.embedding AS v, a.label AS query_label, b.label AS label FROM embeddings a, embeddings b WHERE b.vec_id < {INDEX_ROWS}),
-near AS (SELECT query_id, id, query_label, label, {sql_rounded(COSINE, 6)} AS similarity FROM pairs),
+KNN = f"""pairs AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.embedding AS q, b.embedding AS v FROM embeddings a, embeddings b WHERE a.vec_id % {QUERY_EVERY} = 0),
+near AS (SELECT query_id, id, {sql_rounded(COSINE, 6)} AS similarity FROM pairs),
 knn AS (SELECT * FROM (SELECT query_id, id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, id) AS rank FROM near) WHERE rank <= 5)"""
 
 
+def _near(spark, sf_dir) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return retrieval.knn_in_blocks(rows.where(F.col("id") % QUERY_EVERY == 0).withColumnRenamed("id", "query_id"), rows)
+
+
 @query(f"WITH {KNN} SELECT query_id, id, similarity, CAST(rank AS INTEGER) AS rank FROM knn")
 def knn_topk(spark, sf_dir):
-    """The five most similar index rows of every vector."""
-    queries, index = _vectors(spark, sf_dir)
-    return retrieval.knn(queries, index).select("query_id", "id", "similarity", "rank")
+    """The five most similar of all vectors, for every twentieth."""
+    return _near(spark, sf_dir).select("query_id", "id", "similarity", "rank")
 
 
 HYBRID = f"""{KNN},
-lex AS (SELECT * FROM (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY id) AS rank FROM near WHERE query_label = label) WHERE rank <= 5),
+texts AS (SELECT vec_id AS id, text FROM embeddings JOIN documents ON vec_id = doc_id),
+lex AS (SELECT * FROM (SELECT q.id AS query_id, d.id, row_number() OVER (PARTITION BY q.id ORDER BY d.id) AS rank FROM texts q JOIN texts d ON contains(d.text, substr(q.text, 1, {retrieval.LEAD})) WHERE q.id % {QUERY_EVERY} = 0) WHERE rank <= 5),
 legs AS (SELECT query_id, id, rank FROM lex UNION ALL SELECT query_id, id, rank FROM knn),
 fused AS (SELECT query_id, id, {sql_rounded('sum(1.0::DOUBLE / (60 + rank))', 8)} AS fused FROM legs GROUP BY query_id, id),
 hybrid AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS rank FROM fused) WHERE rank <= 5)"""
 
 
-def _hybrid(spark, sf_dir) -> DataFrame:
-    """Label matches stand for the lexical leg."""
-    queries, index = _vectors(spark, sf_dir)
-    same = queries.select("query_id", "label").join(F.broadcast(index.select("id", "label")), "label").select("query_id", "id")
-    lexical = same.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where("rank <= 5")
-    return retrieval.fuse([lexical, retrieval.knn(queries, index)])
-
-
 @query(f"WITH {HYBRID} SELECT query_id, id, fused, CAST(rank AS INTEGER) AS rank FROM hybrid")
 def hybrid_rrf(spark, sf_dir):
-    """Lexical and vector legs fused by reciprocal ranks."""
-    return _hybrid(spark, sf_dir).select("query_id", "id", "fused", "rank")
+    """The nearest vectors, and the documents that contain the query's first characters, fused by reciprocal ranks."""
+    queries, index = _vectors(spark, sf_dir)
+    return retrieval.fuse([retrieval.lexical_in_blocks(queries, index), retrieval.knn_in_blocks(queries, index)]).select("query_id", "id", "fused", "rank")
 
 
-@query(f"""WITH {KNN}, scored AS (SELECT query_id // 10 AS doc_id, CAST(query_id % 3 AS INTEGER) AS paragraph_index, query_id % 10 AS sentence, rank, id AS case_id, {sql_rounded('greatest(0.0::DOUBLE, similarity)', 4)} AS score FROM knn),
+@query(f"""WITH {KNN}, scored AS (SELECT query_id // {10 * QUERY_EVERY} AS doc_id, CAST(query_id // {QUERY_EVERY} % 3 AS INTEGER) AS paragraph_index, query_id // {QUERY_EVERY} % 10 AS sentence, rank, id AS case_id, {sql_rounded('greatest(0.0::DOUBLE, similarity)', 4)} AS score FROM knn),
 best AS (SELECT *, row_number() OVER (PARTITION BY doc_id, paragraph_index, case_id ORDER BY score DESC, sentence, rank) AS n FROM scored),
 placed AS (SELECT *, row_number() OVER (PARTITION BY doc_id, paragraph_index ORDER BY score DESC, sentence, rank, case_id) AS place FROM best WHERE n = 1)
 SELECT doc_id, paragraph_index, case_id, score FROM placed WHERE place <= 5""")
 def retrieval_merge(spark, sf_dir):
     """Queries as sentences of paragraphs: the best score of each case, then the five best."""
-    queries, index = _vectors(spark, sf_dir)
-    near = retrieval.knn(queries, index)
-    q = F.col("query_id")
-    rows = near.select(F.floor(q / 10).alias("doc_id"), (q % 3).cast("int").alias("paragraph_index"), (q % 10).cast("int").alias("sentence_index"), "rank", F.col("id").alias("case_id"), rounded(F.greatest(F.lit(0.0), F.col("similarity")), 4).alias("score"))
-    return retrieval.best_of_paragraph(rows).select("doc_id", "paragraph_index", "case_id", "score")
-
-
-#: Of the whole table, rows of these numbers are queries.
-QUERY_EVERY = 20
-
-
-def _all_vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Queries and index: every row is indexed. The text of a vector is that of the document of its number, if there is one."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.col("embedding").alias("vector"))
-    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("document"))
-    index = rows.join(texts, "vec_id", "left").withColumnRenamed("vec_id", "id")
-    return index.where(F.col("id") % QUERY_EVERY == 0).select(F.col("id").alias("query_id"), "vector", F.col("document").alias("text")), index
-
-
-@query()
-def knn_all(spark, sf_dir):
-    """The five most similar of all vectors, for every twentieth; knn_topk has 64 index rows, as its SQL has."""
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
-    queries = rows.where(F.col("id") % QUERY_EVERY == 0).withColumnRenamed("id", "query_id")
-    return retrieval.knn_in_blocks(queries, rows).select("query_id", "id", "similarity", "rank")
-
-
-@query()
-def hybrid_all(spark, sf_dir):
-    """Vectors of all rows, and their documents that contain the query's first characters, fused by reciprocal ranks."""
-    queries, index = _all_vectors(spark, sf_dir)
-    return retrieval.fuse([retrieval.lexical_in_blocks(queries, index), retrieval.knn_in_blocks(queries, index)]).select("query_id", "id", "fused", "rank")
-
-
-@query()
-def merge_all(spark, sf_dir):
-    """Every twentieth vector as a sentence of a paragraph, against all rows: the best score of each, then the five best."""
-    near = knn_all(spark, sf_dir)
     place = F.floor(F.col("query_id") / QUERY_EVERY)
-    rows = near.select(F.floor(place / 10).alias("doc_id"), (place % 3).cast("int").alias("paragraph_index"), (place % 10).cast("int").alias("sentence_index"), "rank", F.col("id").alias("case_id"), rounded(F.greatest(F.lit(0.0), F.col("similarity")), 4).alias("score"))
+    score = rounded(F.greatest(F.lit(0.0), F.col("similarity")), 4)
+    rows = _near(spark, sf_dir).select(F.floor(place / 10).alias("doc_id"), (place % 3).cast("int").alias("paragraph_index"), (place % 10).cast("int").alias("sentence_index"), "rank", F.col("id").alias("case_id"), score.alias("score"))
     return retrieval.best_of_paragraph(rows).select("doc_id", "paragraph_index", "case_id", "score")
 
 
@@ -685,4 +647,4 @@ def rewrite_simple(spark, sf_dir):
 def rewrite_not_but(spark, sf_dir):
     """Documents with the rewrites that their signals call for."""
     docs = corpus(spark, sf_dir)
-    return rewrites.rewrite(docs, plans.segments(docs, fuzzy=False))
+    return plans.rewritten(docs)

@@ -1,6 +1,10 @@
 """Every query against its SQL on the smallest tables; the entry point without the llm folder; the command line; a stream."""
 
 import json
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pandas as pd
@@ -40,6 +44,18 @@ def test_entry(spark):
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
 
 
+def test_entry_without_the_llm_folder(tmp_path):
+    root = Path(entry.__file__).parent
+    shutil.copytree(root / "prosegauge", tmp_path / "prosegauge", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(entry.__file__, tmp_path)
+    run = lambda: subprocess.run([sys.executable, "-c", "import __spark_entry__ as e; print(*e.queries())"], cwd=tmp_path, capture_output=True, text=True)
+    out = run()
+    assert set(out.stdout.split()) == set(QUERIES), out.stderr
+    # something else that is missing isn't taken for that
+    (tmp_path / "corpus_pipeline.py").write_text("import a_module_that_is_not_there\n")
+    assert "a_module_that_is_not_there" in run().stderr
+
+
 def test_command_line(spark, tmp_path, capsys):
     path = tmp_path / "a.md"
     path.write_text("真正重要的不是速度，而是你是否能长期坚持。\n\n普通的一段话。", encoding="utf-8")
@@ -48,9 +64,17 @@ def test_command_line(spark, tmp_path, capsys):
     assert out["runtime"]["enabled_detectors"] == ["rule", "author_fit", "stat", "seekdb", "probability"] and out["paragraphs"][0]["signals"] and out["rewritten_text"].startswith("更要紧")
     assert out["suspected_segments"] == out["paragraphs"]
     cli.main(["--input", str(path), "--profile", "fast"])
-    assert "zh.arg.not_x_but_y (rule" in capsys.readouterr().out
+    lines = capsys.readouterr().out.split("\n")
+    assert lines[0] == "[runtime] profile=fast enabled=rule, author_fit, stat" and lines[1] == "" and lines[2].startswith("[paragraph 0] score=")
+    assert any(x.startswith("  - zh.arg.not_x_but_y (rule, severity=") for x in lines) and any(x.startswith("    dimensions: ") for x in lines) and any(x.startswith("    review_signal: ") for x in lines)
     cli.main(["--input", str(path), "--format", "legacy-json", "--profile", "fast"])
     assert json.loads(capsys.readouterr().out)[0]["hits"]
+    index = ["--input", str(path), "--format", "legacy-json", "--profile", "fast", "--seekdb-path", str(tmp_path / "index")]
+    cli.main(index)
+    assert not (tmp_path / "index").exists()
+    for version in (0, 1):
+        cli.main([*index, "--rebuild-seekdb-index"])
+        assert (tmp_path / "index" / "prosegauge" / "cases" / f"version={version}").exists()
     with pytest.raises(FileNotFoundError):
         cli.main(["--input", str(tmp_path / "none.md")])
 

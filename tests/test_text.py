@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from prosegauge.functions import blocks as B
-from prosegauge.functions import fuzzy, lexicon, rewriting, spans, stats
+from prosegauge.functions import dialect, fuzzy, lexicon, rewriting, spans, stats
 from prosegauge.operators import fusion, probability, retrieval, rewrite, rules
 from prosegauge.operators.paragraphs import paragraphs
 from prosegauge.plans import analyze as plans
@@ -205,6 +205,69 @@ def test_partial_ratio_tries_every_window(a, b):
         assert fuzzy.partial_ratio(a, b) == pytest.approx(want)
 
 
+def test_matchers_of_any_script(spark):
+    """A library whose phrases have no Chinese character is held against every paragraph."""
+    kinds = [("phrase", "As an AI"), ("regex", "(?:deep|wide) dive"), ("substring", "稳稳"), ("regex", "不是.{1,9}而是|真正"), ("fuzzy", "in conclusion we see")]
+    matchers = spark.createDataFrame([(i, f"c{i}", "l", 0.8, "h", ["d"], k, p, 1.0) for i, (k, p) in enumerate(kinds)], "matcher_seq int, case_id string, label string, severity double, rewrite_hint string, diagnostic_dimensions array<string>, type string, pattern string, weight double")
+    rows = paragraphs(table(spark, ["As an AI I take a deep dive", "他稳稳地走", "nothing", "这不是快而是慢 As an AI", "in conclusion we see it"]))
+    hits = {(r.doc_id, r.case_id) for r in rules.rule_hits(rows, matchers).collect()}
+    assert hits == {(0, "c0"), (0, "c1"), (1, "c2"), (3, "c0"), (3, "c3"), (4, "c4")}
+
+
+@pytest.mark.parametrize("pattern,needs", [("甲+", True), ("甲*", False), ("[一-龥]{2}x?", True), ("[甲a]", False), ("a|甲", False), ("乙|甲", True), ("(?:甲|(乙b))c", True), (".{3}", False), ("(甲", False), ("^在.*AI", True)])
+def test_patterns_that_need_a_chinese_character(pattern, needs):
+    assert rules.needs_cjk("regex", pattern) == needs and rules.needs_cjk("phrase", "x甲") and not rules.needs_cjk("phrase", "x")
+
+
+@settings(max_examples=10, deadline=None)
+@given(st.lists(st.tuples(st.text("abc é", min_size=1, max_size=8), st.text("abcd é", max_size=16)), min_size=20, max_size=60), st.sampled_from([40.0, 70.0, 75.0, 100.0]))
+def test_the_bound_of_likeness_loses_nothing(spark, pairs, threshold):
+    df = spark.createDataFrame(pairs, "pattern string, text string")
+    for name, one in (("ratio", fuzzy.ratio), ("partial_ratio", fuzzy.partial_ratio)):
+        kept = {(r.pattern, r.text) for r in df.where(rules.may_be_like(name, threshold)).collect()}
+        assert {p for p in pairs if one(*p) >= threshold} <= kept
+
+
+def test_rows_of_repeated_and_null_ids(spark):
+    """Each is reported and rewritten by its own text."""
+    texts = ["真正重要的不是速度，而是你能坚持。", "普通的一段话。\n\n真正重要的不是速度，而是你能坚持。", "普通。", "真正重要的不是速度，而是你能坚持。"]
+    docs = spark.createDataFrame([(1, texts[0]), (1, texts[1]), (None, texts[2]), (None, texts[3]), (7, texts[0]), (7, texts[0]), (8, None)], "doc_id bigint, text string")
+    got = sorted((r.doc_id or 0, r.rewritten_text) for r in plans.rewritten(docs).collect())
+    one = "更要紧的是你能坚持。"
+    assert got == sorted([(1, one), (1, "普通的一段话。\n\n" + one), (0, "普通。"), (0, one), (7, one), (7, one), (8, "")])
+    report = [(r.doc_id or 0, r.summary.suspected_segments_count, [p.paragraph_index for p in r.paragraphs], len(r.paragraphs[0].signals) if r.paragraphs else 0) for r in plans.analyze(docs).collect()]
+    n = max(x[3] for x in report)
+    assert sorted(report) == sorted([(1, 1, [0], n), (1, 1, [1], n), (0, 0, [], 0), (0, 1, [0], n), (7, 1, [0], n), (7, 1, [0], n), (8, 0, [], 0)])
+
+
+def test_analysis_with_probability(spark):
+    docs = table(spark, ["ab " * 100, "short"])
+    rows = {r.doc_id: r.probability for r in plans.analyze(docs, enable_perplexity=True).collect()}
+    assert rows[0].overall_ppl >= 1 and rows[1].reasons == [probability.TOO_SHORT]
+    assert [r.probability for r in plans.analyze(docs, enable_perplexity=True, scorer=None).collect()] == [None, None]
+    assert probability.analyze_perplexity(docs, None) is None and probability.get_detector() is probability.get_detector()
+
+    def broken(rows):
+        raise ValueError("no model")
+
+    assert probability.analyze_probability(docs, broken) is None
+    with pytest.raises(probability.ProbabilityRuntimeError):
+        probability.Detector(broken).analyze(docs)
+
+
+def test_scorer_of_ones_own(spark):
+    def load():
+        return lambda text: ([-0.5] * (len(text) // 4), [1 + i % 2 for i in range(len(text) // 4)])
+
+    r = {x.doc_id: x for x in probability.probability(table(spark, ["ab " * 100, "short"]), probability.token_scorer(load)).collect()}
+    assert r[0].overall_ppl == round(2.718281828 ** 0.5, 2) and r[0].top1_ratio == pytest.approx(0.5, abs=0.02) and r[1].overall_ppl == 0
+
+
+def test_rounding_of_large_values(spark):
+    df = spark.createDataFrame([(1e8,), (1e10,), (123456789012.345,), (2.675,)], "x double")
+    assert [r[0] for r in df.select(dialect.rounded(F.col("x"), 2, wide=True)).collect()] == [1e8, 1e10, 123456789012.35, 2.68]
+
+
 def test_rewrites(spark):
     assert rewriting.keep_positive("AI 不是替代者，而是合作伙伴。") == "AI合作伙伴。"
     assert rewriting.keep_positive("真正重要的不是速度，而是坚持。") == "更要紧的是坚持。"
@@ -246,16 +309,30 @@ def test_windows_slide_where_chunks_are_few(spark):
 
 
 def test_probability_report(spark):
-    r = probability.probability(table(spark, ["ab " * 100, "short"])).collect()
-    assert len(r) == 1 and r[0].overall_ppl >= 1 and 0 <= r[0].risk_score <= 1
+    r = {x.doc_id: x for x in probability.probability(table(spark, ["ab " * 100, "short", None, " " * 90])).collect()}
+    assert len(r) == 4 and r[0].overall_ppl >= 1 and 0 <= r[0].risk_score <= 1 and r[0].reasons != [probability.TOO_SHORT]
+    assert all((r[i].overall_ppl, r[i].risk_score, r[i].risk_level, r[i].reasons, r[i].mean_rank) == (0, 0, "low", [probability.TOO_SHORT], None) for i in (1, 2, 3))
     with pytest.raises(probability.ProbabilityUnavailableError):
         probability.probability(table(spark, ["x"]), None)
 
 
 def test_index_and_search(spark, tmp_path):
-    index = retrieval.upsert(spark, str(tmp_path), retrieval.index_rows(library.load_cases(spark)), 0)
-    again = retrieval.upsert(spark, str(tmp_path), retrieval.index_rows(library.load_cases(spark, genres=["narrative"])), 1)
-    assert again.count() == index.count() == 47
+    index = retrieval.upsert(spark, str(tmp_path), retrieval.index_rows(library.load_cases(spark)))
+    changed = retrieval.index_rows(library.load_cases(spark, genres=["narrative"])).withColumn("document", F.concat("document", F.lit("!")))
+    again = retrieval.upsert(spark, str(tmp_path / "one"), changed)
+    assert again.count() == changed.count() < 47
+    again = retrieval.upsert(spark, str(tmp_path), changed)
+    assert again.count() == index.count() == 47 and again.join(changed, ["id", "document"]).count() == changed.count()
+    assert set(retrieval.open_index(spark, str(tmp_path)).schema["metadata"].dataType.names) >= {"matchers", "examples", "prompt_rule", "label"}
+    (tmp_path / "version=1" / "_SUCCESS").unlink()  # half-written
+    assert retrieval.open_index(spark, str(tmp_path)).join(changed, ["id", "document"]).count() < changed.count()
+    with pytest.raises(retrieval.IndexUnavailableError):
+        retrieval.open_index(spark, str(tmp_path / "none"))
+    with pytest.raises(retrieval.IndexUnavailableError):
+        retrieval.open_index(spark, "nowhere://x/y")
+    (tmp_path / "file").write_text("x")
+    with pytest.raises(retrieval.IndexRuntimeError):
+        retrieval.upsert(spark, str(tmp_path / "file"), changed)
     q = spark.createDataFrame([(0, "情绪托举")], "query_id int, text string")
     top = retrieval.search(q, index).orderBy("rank").collect()
     assert len(top) == 5 and top[0].case_id == "zh.arg.steadily_catch_you" and 0 <= top[0].score <= 1
@@ -279,9 +356,9 @@ def test_every_vector_can_be_a_neighbour(spark, tmp_path, monkeypatch):
     want = {q: sorted(range(300), key=lambda i: (-like[q, i], i))[:5] for q in range(0, 300, 20)}
     for size in (4096, 4):
         monkeypatch.setattr(retrieval, "BLOCK", size)
-        got = queries.QUERIES["knn_all"](spark, str(tmp_path)).collect()
+        got = queries.QUERIES["knn_topk"](spark, str(tmp_path)).collect()
         assert {q: [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] for q in want} == want and want[40][:2] == [40, 299]
-        fused = {(r.query_id, r.id): r.fused for r in queries.QUERIES["hybrid_all"](spark, str(tmp_path)).collect()}
+        fused = {(r.query_id, r.id): r.fused for r in queries.QUERIES["hybrid_rrf"](spark, str(tmp_path)).collect()}
         assert fused[20, 20] == round(2 / 61, 8) and fused[20, 170] >= round(1 / 62, 8) and fused[280, 280] == round(1 / 61, 8)
 
 
@@ -319,5 +396,5 @@ def test_probability_reads_every_window_of_the_documents(spark, tmp_path):
     got = {(r.doc_id, r.window_index): r.ppl for r in queries.QUERIES["document_window_ppl"](spark, str(tmp_path)).collect()}
     assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k], abs=1e-4) for k in want)
     report = {r.doc_id: r for r in queries.QUERIES["probability_report"](spark, str(tmp_path)).collect()}
-    assert set(report) == {1, 2} and report[1].min_ppl == round(min(want[k] for k in want if k[0] == 1), 2)
+    assert set(report) == {1, 2, 3, 4} and report[1].min_ppl == round(min(want[k] for k in want if k[0] == 1), 2)
     assert {r.doc_id for r in queries.QUERIES["document_rank_distribution"](spark, str(tmp_path)).collect()} == {1, 2}
