@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Text is handled by the vector kernels in slices of about this many bytes (one document is never cut).
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -175,6 +175,17 @@ class RangeHash:
         return mixed(h + (ends - starts).astype(np.uint64) * np.uint64(0xA0761D6478BD642F), 7 + self.which)
 
 
+#: Bytes of a batch that a Python worker gets at once, and Spark's setting for it.
+BATCH, BATCH_SETTING = 8 << 20, "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded() -> None:
+    """Batches for Python workers are small in this session, unless the cluster has a bound of its own."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None and spark.sparkContext.getConf().get(BATCH_SETTING) is None:
+        spark.conf.set(BATCH_SETTING, str(BATCH))
+
+
 #: What a worker keeps from one task to the next, by operator; only the operator at work has anything here.
 _KEPT: dict[str, dict] = {}
 
@@ -190,6 +201,7 @@ def kept_by(operator: str) -> dict:
 
 def give_back() -> None:
     """Free memory goes back to the system, as workers outlive their tasks."""
+    _POWERS.clear()
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)
@@ -199,6 +211,7 @@ def give_back() -> None:
 
 def tidy(run: Callable[[Iterator], Iterator], operator: str = "") -> Callable[[Iterator], Iterator]:
     """A task's function that drops other operators' tables before it begins and gives free memory back when it ends."""
+    bounded()
 
     def tidied(batches):
         kept_by(operator)
