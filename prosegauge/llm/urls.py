@@ -1,10 +1,23 @@
 """URL filters by a path-template tree, with DataFrame functions only.
 
-Rules of host and path label the pages they fit. Per host the paths form a tree of segments: runs of digits are wildcards, and
-so is every segment of a node with more than ``MOST_CHILDREN`` different children. Branches of a node (the first segment) whose
-children are distributed like all of that node's children, and whose labels are too, merge into one wildcard branch: a branch
-is held against its siblings taken together, never pair by pair. Each template (host, branch, rest) then has a smoothed purity,
-(blocked + PRIOR * WEIGHT) / (labelled + WEIGHT); at ``REJECT`` or more it is rejected, and with it the pages that no rule fits.
+Rules of host and path label the pages they fit. The paths of a host form a tree of segments (from the ``DEEPEST`` on one
+segment), grown level by level; runs of digits are ``*`` from the start. At each node, whatever its depth, its children are
+generalised:
+
+- a child of at most 1 / ``MOST_CHILDREN`` of its node's pages is a variable segment;
+- a labelled child whose pages go on below it (number and form of the further segments) as all of the node's pages do, within
+  ``VARIATION`` of total variation, is like its siblings;
+- label shares are held apart first: by a test of two shares (``DEVIATIONS``) a child has the share of its siblings, a higher or
+  a lower one.
+
+Variable and alike children of the same kind of share become one wildcard (``*``, ``*+``, ``*-``); a single one keeps its name, and so
+do all others. Each child is held against its siblings taken together, never pair by pair. The tree goes on below the wildcards.
+
+Purity is the smoothed share of blocked pages among the labelled ones:
+P(host, node) = (blocked + k P(host, parent) + WEIGHT Q) / (labelled + k + WEIGHT), k = min(labelled pages of the parent, WEIGHT),
+where Q is the mean, over the node's pages, of the share of the same literal path in all hosts, itself smoothed from parent to
+child: Q(path) = (blocked + WEIGHT Q(parent)) / (labelled + WEIGHT), from ``PRIOR`` at the top. So labels reach pages without any,
+through wildcards, parents and other hosts. A template of ``REJECT`` or more is rejected, and with it its pages that no rule fits.
 
 Cases: a null url, or one without ``://``, has an empty host and path, no rule, and is judged as a template of the empty host;
 repeated rows count each; of equally long rules the first by text wins; extra columns are not carried.
@@ -12,6 +25,8 @@ repeated rows count each; of equally long rules the first by text wins; extra co
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +40,13 @@ RULES = [
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 ]
-MOST_CHILDREN = 50
-#: Prior share of blocked pages and its weight; the purity at which a template is rejected.
-PRIOR, WEIGHT, REJECT = 0.1, 5.0, 0.5
-#: Most total variation, and most standard deviations of the label share, between a branch and its siblings to merge.
+DEEPEST, MOST_CHILDREN = 16, 50
+#: Prior share of blocked pages, the weight of what a share is smoothed to, and the purity at which a template is rejected.
+PRIOR, WEIGHT, REJECT = 0.1, 5.0, 0.8
+#: Most total variation between a child and its node to be alike; deviations from which two label shares differ.
 VARIATION, DEVIATIONS = 0.15, 3.0
+#: Shares are added up in whole millionths, so that sums don't depend on their order.
+UNIT = 1_000_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -50,42 +67,79 @@ def fitted(host: Column, path: Column, rules: list[tuple[str, str, str]]) -> Col
     return out
 
 
+def segments(path: Column) -> Column:
+    """The path's segments with digits as wildcards; from the deepest level on they are one."""
+    parts = F.when(path == "", F.array().cast("array<string>")).otherwise(F.split(F.regexp_replace(F.regexp_replace(path, "^/", ""), "[0-9]+", "*"), "/"))
+    deep = F.concat(F.slice(parts, 1, DEEPEST - 1), F.array(F.array_join(F.slice(parts, DEEPEST, 1 << 30), "/")))
+    return F.when(F.size(parts) > DEEPEST, deep).otherwise(parts)
+
+
+def form(rest: Column) -> Column:
+    """What a path is like below a child: its further segments with letters as one."""
+    return F.regexp_replace(F.array_join(rest, "/"), "[^/.*]+", "a")
+
+
+def smoothed(blocked: Column, labelled: Column, to: Column) -> Column:
+    return (blocked + WEIGHT * to) / (labelled + WEIGHT)
+
+
+def _sums(prefix: str = "") -> list[Column]:
+    return [F.sum(x).alias(prefix + x) for x in ("n", "blocked", "labelled")]
+
+
+def named(rows: DataFrame) -> DataFrame:
+    """host, node, seg, name: what each child of a node is called in the tree. rows: host, node, seg, form, n, blocked, labelled."""
+    forms = rows.groupBy("host", "node", "seg", "form").agg(*_sums())
+    kids = forms.groupBy("host", "node", "seg").agg(*_sums())
+    nodes = kids.groupBy("host", "node").agg(*_sums("all_"))
+    pooled = forms.groupBy("host", "node", "form").agg(F.sum("n").alias("form_n"))
+    both = forms.select("host", "node", "seg", "form", F.col("n").alias("own_n")).join(pooled, ["host", "node", "form"]).join(kids, ["host", "node", "seg"]).join(nodes, ["host", "node"])
+    own, all_ = F.col("own_n") / F.col("n"), F.col("form_n") / F.col("all_n")
+    # forms that a child lacks add the share of the node's pages that its own forms don't meet
+    near = both.groupBy("host", "node", "seg", "n", "blocked", "labelled", "all_n", "all_blocked", "all_labelled").agg(F.sum(F.abs(own - all_)).alias("near"), F.sum(all_).alias("met"))
+    others, share = F.col("all_labelled") - F.col("labelled"), F.col("all_blocked") / F.col("all_labelled")
+    gap = F.col("blocked") / F.col("labelled") - (F.col("all_blocked") - F.col("blocked")) / others
+    apart = F.abs(gap) > DEVIATIONS * F.sqrt(share * (1 - share) * (1 / F.col("labelled") + 1 / others)) + 1e-9
+    side = F.when((F.col("labelled") == 0) | (others == 0), "").when(~apart, "").when(gap > 0, "+").otherwise("-")
+    variable = F.col("n") * MOST_CHILDREN <= F.col("all_n")
+    alike = (F.col("labelled") > 0) & ((F.col("near") + 1 - F.col("met")) / 2 <= VARIATION + 1e-9)
+    general = near.select("host", "node", "seg", F.when(variable | alike, F.concat(F.lit("*"), side)).alias("general"))
+    alone = general.where("general IS NOT NULL").groupBy("host", "node", "general").agg(F.min("seg").alias("least"), F.max("seg").alias("most")).where("least = most").select("host", "node", "general", F.lit(True).alias("alone"))
+    return general.join(alone, ["host", "node", "general"], "left").select("host", "node", "seg", F.when(F.col("general").isNull() | F.col("alone"), F.col("seg")).otherwise(F.col("general")).alias("name"))
+
+
+def templates(leaves: DataFrame) -> DataFrame:
+    """host, segs, template, purity of each distinct path. leaves: host, segs, n, blocked, labelled."""
+    top = leaves.agg(F.sum("blocked"), F.sum("labelled"), F.max(F.size("segs"))).first()
+    share = ((top[0] or 0) + PRIOR * WEIGHT) / ((top[1] or 0) + WEIGHT)
+    hosts = leaves.groupBy("host").agg(F.sum("labelled").alias("known"), smoothed(F.sum("blocked"), F.sum("labelled"), F.lit(share)).alias("purity"))
+    live = leaves.join(hosts, "host").select("*", F.lit("").alias("path"), F.lit("").alias("node"), F.lit(share).alias("pool"))
+    done = [live.where(F.size("segs") == 0)]
+    for d in range(top[2] or 0):
+        rows = live.where(F.size("segs") > d).withColumn("seg", F.get("segs", F.lit(d))).withColumn("form", form(F.slice("segs", d + 2, 1 << 30))).withColumn("path", F.concat_ws("/", "path", "seg"))
+        of_path = rows.groupBy("path").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"))
+        rows = rows.join(of_path, "path").withColumn("pool", smoothed(F.col("b"), F.col("l"), F.col("pool"))).drop("b", "l")
+        rows = stored(rows.join(named(rows), ["host", "node", "seg"]).withColumn("node", F.concat_ws("/", "node", "name")).drop("seg", "form", "name"), "url-level")
+        pool = F.sum((F.col("n") * F.round(F.col("pool") * UNIT).cast("bigint")).cast("decimal(38,0)")).cast("double") / UNIT / F.sum("n")
+        nodes = rows.groupBy("host", "node").agg(F.sum("blocked").alias("b"), F.sum("labelled").alias("l"), pool.alias("q"))
+        k = F.least(F.col("known").cast("double"), F.lit(WEIGHT))
+        purity = (F.col("b") + k * F.col("purity") + WEIGHT * F.col("q")) / (F.col("l") + k + WEIGHT)
+        live = stored(rows.join(nodes, ["host", "node"]).withColumn("purity", purity).withColumn("known", F.col("l")).drop("b", "l", "q"), "url-nodes")
+        done.append(live.where(F.size("segs") == d + 1))
+    kept = [x.select("host", "segs", F.concat("host", "node").alias("template"), "purity") for x in done]
+    return reduce(DataFrame.union, kept)
+
+
 def judged(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page_id", url: str = "url") -> DataFrame:
     """key, host, path, rule, verdict, template, purity of each page."""
     host, path = parsed(F.col(url))
     rows = pages.select(F.col(key).alias("key"), host.alias("host"), path.alias("path"))
-    rows = rows.withColumn("fit", fitted(F.col("host"), F.col("path"), rules))
-    shape = F.regexp_replace(F.col("path"), "[0-9]+", "*")
-    rows = rows.withColumn("branch", F.coalesce(F.regexp_extract(shape, "^(/[^/]*)", 1), F.lit(""))).withColumn("rest", F.substr(shape, F.length("branch") + 1))
-    blocked, allowed = F.sum((F.col("fit.verdict") == "block").cast("long")), F.sum((F.col("fit.verdict") == "allow").cast("long"))
-    leaves = rows.groupBy("host", "branch", "rest").agg(F.count("*").alias("n"), F.coalesce(blocked, F.lit(0)).alias("blocked"), F.coalesce(allowed, F.lit(0)).alias("allowed"))
-    leaves = stored(leaves, "url-leaves")
-
-    # nodes with many children get one wildcard child
-    width = leaves.groupBy("host").agg(F.count_distinct("branch").alias("branches"))
-    depth = leaves.groupBy("host", "branch").agg(F.count("*").alias("rests"))
-    wild = leaves.join(width, "host").join(depth, ["host", "branch"])
-    wild = wild.withColumn("b", F.when(F.col("branches") > MOST_CHILDREN, F.lit("/*")).otherwise(F.col("branch"))).withColumn("r", F.when(F.col("rests") > MOST_CHILDREN, F.lit("/**")).otherwise(F.col("rest")))
-    tree = wild.groupBy("host", "b", "r").agg(*[F.sum(x).alias(x) for x in ("n", "blocked", "allowed")])
-
-    # a branch against all branches of its host
-    of_branch = tree.groupBy("host", "b").agg(*[F.sum(x).alias("b_" + x) for x in ("n", "blocked", "allowed")])
-    of_rest = tree.groupBy("host", "r").agg(F.sum("n").alias("r_n"))
-    of_host = tree.groupBy("host").agg(*[F.sum(x).alias("h_" + x) for x in ("n", "blocked", "allowed")], F.count_distinct("b").alias("branches"))
-    # rests that a branch lacks: the pooled share not met by its own rests
-    shares = tree.join(of_rest, ["host", "r"]).join(of_branch, ["host", "b"]).join(of_host, "host")
-    own, pooled = F.col("n") / F.col("b_n"), F.col("r_n") / F.col("h_n")
-    distance = shares.groupBy("host", "b").agg(F.sum(F.abs(own - pooled)).alias("near"), F.sum(pooled).alias("met"))
-    apart = of_branch.join(of_host, "host").join(distance, ["host", "b"])
-    deviation = lambda x: F.abs(F.col("b_" + x) / F.col("b_n") - F.col("h_" + x) / F.col("h_n")) > DEVIATIONS * F.sqrt(F.greatest(F.col("h_" + x) / F.col("h_n") * (1 - F.col("h_" + x) / F.col("h_n")), F.lit(1e-9)) / F.col("b_n"))
-    similar = (F.col("branches") > 1) & ((F.col("near") + 1 - F.col("met")) / 2 <= VARIATION) & ~deviation("blocked") & ~deviation("allowed")
-    merged = apart.select("host", "b", F.when(similar, F.lit("/*")).otherwise(F.col("b")).alias("merged"))
-    named = wild.join(merged, ["host", "b"]).select("host", "branch", "rest", "merged", "r", "blocked", "allowed")
-    totals = named.groupBy("host", "merged", "r").agg(F.sum("blocked").alias("bad"), F.sum(F.col("blocked") + F.col("allowed")).alias("labelled"))
-    verdicts = named.select("host", "branch", "rest", "merged", "r").join(totals, ["host", "merged", "r"])
-    verdicts = verdicts.select("host", "branch", "rest", F.concat("host", "merged", "r").alias("template"), ((F.col("bad") + PRIOR * WEIGHT) / (F.col("labelled") + WEIGHT)).alias("purity"))
-    out = rows.join(verdicts, ["host", "branch", "rest"])
+    rows = rows.withColumn("fit", fitted(F.col("host"), F.col("path"), rules)).withColumn("segs", segments(F.col("path")))
+    blocked = F.sum((F.col("fit.verdict") == "block").cast("long"))
+    leaves = rows.groupBy("host", "segs").agg(F.count("*").alias("n"), F.coalesce(blocked, F.lit(0)).alias("blocked"), F.count("fit.verdict").alias("labelled"))
+    found = templates(stored(leaves, "url-leaves"))
     method = F.when(F.col("purity") >= REJECT, F.lit("block")).otherwise(F.lit("allow"))
+    out = rows.join(found, ["host", "segs"])
     return out.select(F.col("key").alias(key), "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), method).alias("verdict"), "template", "purity")
 
 
