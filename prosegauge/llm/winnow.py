@@ -1,8 +1,11 @@
 """Document fingerprints by winnowing, with DataFrame functions only.
 
-A text is lower-cased and split at white space. Every run of ``GRAM`` words has a rolling hash; of every ``WINDOW`` adjacent
-hashes the least is chosen, on ties the rightmost, with its position. Any run of GRAM + WINDOW - 1 words that two texts share
-gives a common hash; a shared run of fewer than GRAM words never does.
+A text is lower-cased and split at white space; each character of a script written without spaces is a word of its own. Every run
+of ``GRAM`` words has a rolling hash (a cyclic polynomial: the words' hashes, rotated by their distance from the run's end, by
+exclusive or); of every ``WINDOW`` adjacent hashes the least is chosen, on ties the rightmost, with its position. Any run of
+GRAM + WINDOW - 1 words that two texts share gives a common hash; a shared run of fewer than GRAM words never does.
+
+Hashes and minima of all places are made at once: those of runs of n words from those of shorter runs beside each other.
 
 A chosen entry is one long: 39 bits of hash, then 2**24 - 1 less the word position (modulo 2**24), so that the least entry of
 a window is the least hash at its rightmost place. The fingerprint string joins the entries in hex. Likeness is the Jaccard
@@ -17,23 +20,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import gathered, partitions, table
+from .common import gathered, partitions, stored, table
 
 GRAM, WINDOW = 5, 6
 _POSITIONS = (1 << 24) - 1
-#: Most splitters, and the size of a coarse step among them.
-MOST_BUCKETS, STEP = 4096, 64
+#: Edges of key ranges at most (each is cut into even parts where more buckets are needed), and the size of a coarse step among them.
+EDGES, STEP = 1024, 64
 #: Buckets for each shuffle partition: buckets fall to partitions by hash, so several even out.
 SPREAD = 6
+#: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana and Han.
+UNSPACED = "[\\x{e00}-\\x{eff}\\x{1000}-\\x{109f}\\x{1780}-\\x{17ff}\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}\\x{20000}-\\x{3ffff}]"
+
+
+def tokens(text: Column) -> Column:
+    """The words of a text."""
+    low = F.lower(text)
+    apart = F.when(low.rlike(UNSPACED), F.regexp_replace(low, UNSPACED, " $0 ")).otherwise(low)
+    return F.filter(F.split(apart, "[ \\t-\\r]+"), lambda w: w != "")
+
+
+def _beside(a: Column, b: Column, skip: int, join) -> Column:
+    """join of each element of a with the one of b that lies skip places on."""
+    n = F.size(b) - skip
+    return F.zip_with(F.slice(a, F.lit(1), n), F.slice(b, F.lit(skip + 1), n), join)
+
+
+def rolled(ones: Column, size: int) -> Column:
+    """The hashes of all runs of size words from the words' own: of runs twice as long, or longer by one, step by step."""
+    turned = lambda n: lambda a, b: F.shiftleft(a, n).bitwiseOR(F.shiftrightunsigned(a, 64 - n)).bitwiseXOR(b)
+
+    def grown(now: Column, n: int, more: str) -> Column:
+        if not more:
+            return now
+        longer = lambda x: _let(_beside(x, ones, 2 * n, turned(1)), lambda y: grown(y, 2 * n + 1, more[1:]))
+        return _let(_beside(now, now, n, turned(n)), lambda x: longer(x) if more[0] == "1" else grown(x, 2 * n, more[1:]))
+
+    return grown(ones, 1, f"{size:b}"[1:])
+
+
+def minima(ones: Column, size: int, n: int = 1) -> Column:
+    """The least of all runs of size elements, from those of runs of n."""
+    if n == size:
+        return ones
+    skip = min(n, size - n)
+    return _let(_beside(ones, ones, skip, lambda a, b: F.least(a, b)), lambda x: minima(x, size, n + skip))
 
 
 def entries(text: Column, gram: int = GRAM, window: int = WINDOW) -> Column:
     """The chosen entries of a text, in order of position."""
-    tokens = F.filter(F.split(F.lower(text), "[ \\t-\\r]+"), lambda w: w != "")
-    hashes = F.transform(tokens, lambda w: F.xxhash64(w))
-    grams = lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(h) - gram + 1)), lambda i: F.xxhash64(F.slice(h, i, gram))))
+    hashes = F.transform(tokens(text), lambda w: F.xxhash64(w))
+    grams = lambda h: F.when(F.size(h) == 0, F.array().cast("array<bigint>")).when(F.size(h) < gram, F.array(F.xxhash64(h))).otherwise(rolled(h, gram))
     packed = lambda g: F.transform(g, lambda x, i: F.shiftleft(F.shiftrightunsigned(x, 25), 24).bitwiseOR(_POSITIONS - i.cast("bigint").bitwiseAND(F.lit(_POSITIONS))))
-    chosen = lambda e: F.when(F.size(e) == 0, e).otherwise(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(e) - window + 1)), lambda i: F.array_min(F.slice(e, i, window)))))
+    chosen = lambda e: F.when(F.size(e) == 0, e).when(F.size(e) < window, F.array(F.array_min(e))).otherwise(F.array_distinct(minima(e, window)))
     return _let(_let(_let(hashes, grams), packed), chosen)
 
 
@@ -62,36 +100,37 @@ def fingerprints(docs: DataFrame, key: str = "doc_id", text: str = "text", gram:
     return chosen.withColumn("fingerprint", shown(F.col("entries")))
 
 
-def _bucket(key: Column, splitters: list[int]) -> Column:
-    """How many splitters are at most the key; sought in coarse steps, then in one step."""
-    if not splitters:
-        return F.lit(0)
-    arr = F.array(*[F.lit(x) for x in splitters])
-    coarse = F.array(*[F.lit(x) for x in splitters[STEP - 1 :: STEP]]) if len(splitters) >= STEP else F.array().cast("array<bigint>")
-    base = F.size(F.filter(coarse, lambda x: x <= key)) * STEP
-    return F.coalesce(base + F.size(F.filter(F.slice(arr, base + 1, STEP), lambda x: x <= key)), F.lit(0))
+def _part(key: Column, edges: list[int], fine: int) -> Column:
+    """The bucket of a key: the range between edges that it lies in, cut into even parts; null keys are in the first."""
+    if len(edges) < 2:
+        return F.lit(0).cast("bigint")
+    arr = F.array(*[F.lit(x).cast("bigint") for x in edges])
+    coarse = F.array(*[F.lit(x).cast("bigint") for x in edges[STEP - 1 :: STEP]]) if len(edges) >= STEP else F.array().cast("array<bigint>")
+    base = F.size(F.filter(coarse, lambda x: x <= key)) * STEP  # sought in coarse steps, then in one
+    at = F.least(F.greatest(base + F.size(F.filter(F.slice(arr, base + 1, STEP), lambda x: x <= key)) - 1, F.lit(0)), F.lit(len(edges) - 2))
+    low, high = F.get(arr, at).cast("double"), F.get(arr, at + 1).cast("double")
+    part = F.floor((key.cast("double") - low) / (high - low) * fine) if fine > 1 else F.lit(0)
+    return F.coalesce(at.cast("bigint") * fine + F.least(F.greatest(part, F.lit(0)), F.lit(fine - 1)), F.lit(0).cast("bigint"))
 
 
-def with_next(docs: DataFrame, prepare, key: str = "doc_id", text: str = "text") -> DataFrame:
+def with_next(docs: DataFrame, prepare, key: str = "doc_id", text: str = "text", edges: int = EDGES) -> DataFrame:
     """Rows of prepare(key, text) with ``next``, a struct of the row that follows in descending order of the key; the last is followed by the first.
 
-    Rows are dealt by sampled splitters of the key to buckets; each bucket also gets the first row of the following bucket.
+    Rows are dealt by ranges of the key to as many buckets as the cluster's partitions ask for; each bucket also gets the first row of
+    the following one.
     """
     spark = docs.sparkSession
     given = docs.select(F.col(key).cast("bigint").alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    n = min(SPREAD * partitions(spark), MOST_BUCKETS)
-    found = given.agg(F.percentile_approx("key", [i / n for i in range(1, n)], 40 * n)).first()[0] if n > 1 else None
-    splitters = sorted(set(found or []))
-    bucket = _bucket(F.col("key"), splitters)
-    heads = sorted((r[0], r[1]) for r in given.groupBy(bucket.alias("b")).agg(F.max("key")).collect())
-    after = [(b, heads[i - 1][1]) for i, (b, _) in enumerate(heads)]
+    wanted = SPREAD * partitions(spark)
+    n = min(wanted, edges)
+    found = given.agg(F.percentile_approx("key", [i / n for i in range(n + 1)], 40 * n)).first()[0]
+    bucket = _part(F.col("key"), sorted(set(found or [])), -(-wanted // n))
+    heads = given.groupBy(bucket.alias("bucket")).agg(F.struct(F.max("key").alias("key")).alias("top"))  # a row for each bucket
+    w = Window.orderBy("bucket")
+    after = stored(heads.select("bucket", F.coalesce(F.lag("top").over(w), F.last("top").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))["key"].alias("first")), "winnow-heads")
     rows = given.select(bucket.alias("bucket"), F.lit(0).alias("extra"), "key", "text")
-    if after:
-        pairs = F.array(*[F.struct(F.lit(b).alias("bucket"), F.lit(x).cast("bigint").alias("first")) for b, x in after])
-        lead = spark.range(1, numPartitions=1).select(F.inline(pairs))  # a row for each bucket
-        extra = given.join(F.broadcast(lead), F.col("key").eqNullSafe(F.col("first"))).select("bucket", F.lit(1).alias("extra"), "key", "text")
-        rows = rows.union(extra)
-    dealt = rows.repartition(partitions(spark), "bucket")
+    extra = given.join(F.broadcast(after), F.col("key").eqNullSafe(F.col("first"))).select("bucket", F.lit(1).alias("extra"), "key", "text")
+    dealt = rows.union(extra).repartition(partitions(spark), "bucket")
     ready = dealt.select("bucket", "extra", *prepare(F.col("key"), F.col("text")))
     w = Window.partitionBy("bucket").orderBy("extra", F.col("key").desc_nulls_last(), "text")
     kept = [c for c in ready.columns if c not in ("bucket", "extra", "key")]
