@@ -25,8 +25,8 @@ from .common import LOWER, RangeHash, arrow_column, byte_class, slices, stored,
 #: Words: digits, a-z and all code points from U+0080 on, after A-Z are lower-cased.
 WORD = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
 WINDOW = 10
-#: Bytes of benchmark text in one block.
-BLOCK_BYTES = 4 << 20
+#: Bytes of benchmark text in one block, at four a character.
+BLOCK_BYTES = 16 << 20
 
 MATCH = "item_id bigint, doc_word bigint, item_word bigint, n_words bigint"
 
