@@ -10,8 +10,9 @@ A filter that the number of training tokens bounds by ``FILTER_BYTES`` is broadc
 distinct bigrams to the buckets, which probe their own segments and answer with a level each, one byte. Both ways give the same
 scores; the second costs one more exchange and grows in proportion to the corpus.
 
-log10 P(w | u) = log10(MIX * count(u, w) / count(u) + (1 - MIX) * P(w)), where P(w) is the smoothed unigram share; a context
-never seen in training leaves P(w) alone. The context of a text's first token is the end of a text.
+log10 P(w | u) = log10((count(u, w) + WEIGHT * P(w)) / (count(u) + WEIGHT)), where P(w) is the smoothed unigram share: the more often a
+context was seen, the more its own counts say, and one never seen in training leaves P(w) alone. The context of a text's first
+token is the end of a text.
 
 Cases: a null or empty text has the end token only; repeated rows count and score each; a null id is neither held out nor
 learned; with nothing learned every share is 1; tokens are told apart by 64-bit hashes; extra columns are not carried.
@@ -32,9 +33,12 @@ from .common import LOWER, NON_SPACE, RangeHash, gathered, mixed, partitions, sl
 BATCH_BYTES = 8 << 20
 FILTER_BYTES = 192 << 20
 BITS, PROBES = 12, 4
+#: Tokens for each bucket.
+BUCKET_TOKENS = 4_000_000
 #: Tokens that a reader scores at a time.
 STEP = 1 << 18
-MIX = 0.25
+#: Occurrences of a context that weigh as much as the unigram share does.
+WEIGHT = 200.0
 END = np.uint64(0x5851F42D4C957F2D)
 _K = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -254,7 +258,7 @@ def _gathered(answers: list[dict], values: str, width: str, h: np.ndarray, bucke
     return out
 
 
-def _score(shared, buckets: int, n: int, v: int, mix: float):
+def _score(shared, buckets: int, n: int, v: int, weight: float):
     """shared: the filter, or None where each batch comes with its levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -279,7 +283,7 @@ def _score(shared, buckets: int, n: int, v: int, mix: float):
                     p = share[tokens[at]]
                     known = context > 0
                     c = told[where[at][known]] if shared is None else shared.value.counts(g[at][known])
-                    p[known] = mix * np.minimum(c, context[known]) / context[known] + (1 - mix) * p[known]
+                    p[known] = (np.minimum(c, context[known]) + weight * p[known]) / (context[known] + weight)
                     part[at] = np.log10(p)
                 add = lambda x: np.add.reduceat(x, first)
                 yield pa.RecordBatch.from_arrays(
@@ -290,12 +294,14 @@ def _score(shared, buckets: int, n: int, v: int, mix: float):
     return run
 
 
-def scores(docs: DataFrame, learn, held, key: str = "doc_id", text: str = "text", mix: float = MIX, filter_bytes: int = FILTER_BYTES) -> DataFrame:
+def scores(docs: DataFrame, learn, held, key: str = "doc_id", text: str = "text", weight: float = WEIGHT, filter_bytes: int = FILTER_BYTES) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of each document; learn and held: boolean columns."""
     spark = docs.sparkSession
-    buckets = partitions(spark)
     given = docs.select(F.col(key).cast("bigint").alias("key"), F.col(text).alias("text"), held.alias("held"), learn.alias("learn"))
     batches = stored(given.mapInArrow(tidy(_tokenize), BATCHES), "lm-batches")
+    # tokens bound the entries of both exchanges
+    tokens = batches.agg(F.sum(F.aggregate("sizes", F.lit(0).cast("bigint"), lambda a, x: a + x))).first()[0] or 0
+    buckets = max(partitions(spark), -(-tokens // BUCKET_TOKENS))
 
     requests = batches.select("batch", "vocabulary", "trained").mapInArrow(tidy(_requests(buckets)), "bucket int, batch bigint, hashes binary, counts binary")
     answers = requests.groupBy("bucket").applyInArrow(_answer, "bucket int, batch bigint, totals binary, n bigint, v bigint")
@@ -315,7 +321,7 @@ def scores(docs: DataFrame, learn, held, key: str = "doc_id", text: str = "text"
         pairs = batches.select(*columns).mapInArrow(tidy(_pairs(buckets, True)), schema)
         levels = pairs.groupBy("bucket").applyInArrow(_levels(buckets), "bucket int, batch bigint, levels binary")
         ready = ready.join(levels.groupBy("batch").agg(F.array_sort(F.collect_list(F.struct("bucket", "levels"))).alias("levels")), "batch")
-    out = ready.mapInArrow(tidy(_score(shared, buckets, n, v, mix)), "key bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    out = ready.mapInArrow(tidy(_score(shared, buckets, n, v, weight)), "key bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     out = gathered(out, docs)
     return out.select(F.col("key").alias(key), "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")
 
