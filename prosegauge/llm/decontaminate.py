@@ -210,7 +210,26 @@ def clean(docs: DataFrame, bench: DataFrame, text: str = "text", item: str = "it
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words, hit words, items and contamination of every document, with its longest verbatim matches. Items with a null id count as one, which the digest of ids leaves out."""
+    """Words, hit words, items and contamination of every document. Items with a null id count as one, which the digest of ids leaves out."""
     found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.array_sort(F.array_distinct(F.transform("matches", lambda m: m["item_id"].cast("string"))))
-    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), F.to_json("matches").alias("matches"))
+    return found.select("doc_id", "n_words", "n_hit", F.size(items).cast("bigint").alias("n_items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def _words_sql(text: str) -> str:
+    return f"regexp_extract_all(translate(coalesce({text}, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+
+OP5_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_words_sql('text')} AS w FROM documents),
+b AS (SELECT item_id, {_words_sql('text')} AS w FROM benchmark),
+items AS (SELECT item_id, least({WINDOW}, len(w)) AS size, unnest(list_transform(range(greatest(1, len(w) - {WINDOW - 1})), lambda i: array_to_string(w[i + 1 : i + {WINDOW}], ' '))) AS words FROM b WHERE len(w) > 0),
+windows AS (SELECT DISTINCT size, words FROM items),
+places AS (SELECT r, size, w, unnest(range(1, len(w) - size + 2)) AS i FROM d, (SELECT DISTINCT size FROM windows) WHERE len(w) >= size),
+met AS (SELECT r, i, size, words FROM (SELECT r, i, size, array_to_string(w[i : i + size - 1], ' ') AS words FROM places) JOIN windows USING (size, words)),
+hits AS (SELECT r, count(DISTINCT j) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS j FROM met) GROUP BY r),
+found AS (SELECT r, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS ids FROM met JOIN items USING (size, words) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(len(ids), 0) AS BIGINT) AS n_items,
+  sha256(coalesce(array_to_string(ids, ','), '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN hits USING (r) LEFT JOIN found USING (r)
+"""

@@ -144,5 +144,51 @@ def judged(pages: DataFrame, rules: list[tuple[str, str, str]], key: str = "page
 
 
 def op4_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Host, path, rule and verdict of every page's url."""
-    return judged(table(spark, sf_dir, "pages"), RULES)
+    """Host, path, rule and verdict of every page's url, with its template and purity."""
+    return judged(table(spark, sf_dir, "pages"), RULES).withColumn("purity", F.round(F.col("purity").cast("decimal(18,10)"), 6).cast("double"))
+
+
+def _level_sql(d: int) -> str:
+    """One level of the tree: the children of all nodes at depth d are named, then pooled."""
+    sums = "sum(n) AS n, sum(blocked) AS blocked, sum(labelled) AS labelled"
+    gap = "(blocked / labelled - (all_blocked - blocked) / (all_labelled - labelled))"
+    share = "all_blocked / all_labelled"
+    far = f"abs({gap}) > {DEVIATIONS} * sqrt({share} * (1 - {share}) * (1 / labelled + 1 / (all_labelled - labelled))) + 1e-9"
+    return f"""
+rows{d} AS MATERIALIZED (SELECT * EXCLUDE (path), segs[{d + 1}] AS seg, regexp_replace(array_to_string(segs[{d + 2}:], '/'), '[^/.*]+', 'a', 'g') AS form, path || '/' || segs[{d + 1}] AS path FROM live{d} WHERE len(segs) > {d}),
+paths{d} AS (SELECT path, sum(blocked) AS b, sum(labelled) AS l FROM rows{d} GROUP BY path),
+forms{d} AS MATERIALIZED (SELECT host, node, seg, form, {sums} FROM rows{d} GROUP BY ALL),
+kids{d} AS MATERIALIZED (SELECT host, node, seg, {sums} FROM forms{d} GROUP BY ALL),
+all{d} AS (SELECT host, node, sum(n) AS all_n, sum(blocked) AS all_blocked, sum(labelled) AS all_labelled FROM kids{d} GROUP BY ALL),
+pooled{d} AS (SELECT host, node, form, sum(n) AS form_n FROM forms{d} GROUP BY ALL),
+near{d} AS (SELECT host, node, seg, k.n, k.blocked, k.labelled, all_n, all_blocked, all_labelled, sum(abs(f.n / k.n - form_n / all_n)) AS near, sum(form_n / all_n) AS met
+  FROM (SELECT host, node, seg, form, n FROM forms{d}) f JOIN pooled{d} USING (host, node, form) JOIN kids{d} k USING (host, node, seg) JOIN all{d} USING (host, node) GROUP BY ALL),
+general{d} AS (SELECT host, node, seg, CASE WHEN n * {MOST_CHILDREN} <= all_n OR (labelled > 0 AND (near + 1 - met) / 2 <= {VARIATION} + 1e-9)
+  THEN '*' || CASE WHEN labelled = 0 OR all_labelled = labelled THEN '' WHEN NOT ({far}) THEN '' WHEN {gap} > 0 THEN '+' ELSE '-' END END AS general FROM near{d}),
+names{d} AS (SELECT host, node, seg, CASE WHEN general IS NULL OR count(*) OVER (PARTITION BY host, node, general) = 1 THEN seg ELSE general END AS name FROM general{d}),
+placed{d} AS MATERIALIZED (SELECT host, segs, n, blocked, labelled, known, purity, path, node || '/' || name AS node, (b + {WEIGHT} * pool) / (l + {WEIGHT}) AS pool FROM rows{d} JOIN paths{d} USING (path) JOIN names{d} USING (host, node, seg)),
+totals{d} AS (SELECT host, node, sum(blocked) AS b, sum(labelled) AS l, CAST(sum(n * CAST(round(pool * {UNIT}) AS BIGINT)) AS DOUBLE) / {UNIT} / sum(n) AS q FROM placed{d} GROUP BY ALL),
+live{d + 1} AS MATERIALIZED (SELECT host, segs, n, blocked, labelled, l AS known, (b + least(known, {WEIGHT}) * purity + {WEIGHT} * q) / (l + least(known, {WEIGHT}) + {WEIGHT}) AS purity, path, node, pool FROM placed{d} JOIN totals{d} USING (host, node)),"""
+
+
+def _op4_sql() -> str:
+    fits = [(f"(host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}')", h + p, v) for h, p, v in sorted(RULES, key=lambda r: (len(r[0] + r[1]), r), reverse=True)]
+    case = lambda i: "CASE " + " ".join(f"WHEN {f[0]} THEN '{f[i]}'" for f in fits) + " END"
+    parts = "string_split(regexp_replace(regexp_replace(path, '^/', ''), '[0-9]+', '*', 'g'), '/')"
+    fields = "host, segs, n, blocked, labelled, known, purity, path, node, pool"
+    return f"""
+WITH rests AS (SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+urls AS (SELECT page_id, translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM rests),
+split_ AS (SELECT *, {case(1)} AS rule, {case(2)} AS told, CASE WHEN path = '' THEN []::VARCHAR[] ELSE {parts} END AS parts FROM urls),
+judged AS MATERIALIZED (SELECT * EXCLUDE (parts), CASE WHEN len(parts) > {DEEPEST} THEN list_append(parts[1:{DEEPEST - 1}], array_to_string(parts[{DEEPEST}:], '/')) ELSE parts END AS segs FROM split_),
+leaves AS MATERIALIZED (SELECT host, segs, count(*) AS n, count(*) FILTER (WHERE told = 'block') AS blocked, count(told) AS labelled FROM judged GROUP BY host, segs),
+top AS (SELECT (sum(blocked) + {PRIOR * WEIGHT}::DOUBLE) / (sum(labelled) + {WEIGHT}::DOUBLE) AS share FROM leaves),
+hosts AS (SELECT host, sum(labelled) AS known, (sum(blocked) + {WEIGHT} * any_value(share)) / (sum(labelled) + {WEIGHT}::DOUBLE) AS purity FROM leaves, top GROUP BY host),
+live0 AS MATERIALIZED (SELECT host, segs, n, blocked, labelled, known, purity, '' AS path, '' AS node, share AS pool FROM leaves JOIN hosts USING (host), top),{"".join(_level_sql(d) for d in range(DEEPEST))}
+done AS ({" UNION ALL ".join(f"SELECT {fields} FROM live{d} WHERE len(segs) = {d}" for d in range(DEEPEST + 1))})
+SELECT page_id, j.host, j.path, rule, coalesce(told, CASE WHEN purity >= {REJECT} THEN 'block' ELSE 'allow' END) AS verdict, j.host || node AS template, CAST(round(CAST(purity AS DECIMAL(18,10)), 6) AS DOUBLE) AS purity
+FROM judged j JOIN done USING (host, segs)
+"""
+
+
+OP4_SQL = _op4_sql()
