@@ -860,6 +860,46 @@ def model():
     return m
 
 
+def brute_cross_entropy(samples_, text, order=language.ORDER, discount=language.DISCOUNT):
+    """Nats for each character by language, from counters of strings."""
+    plain = lambda t: re.sub(r"[^a-zäöüß]+", " ", t.lower()).lstrip(" ").rstrip(" ") + " "
+    shorter = lambda t: plain(t) if plain(t) != " " else " "
+    grams = lambda t, n: [(" " * n + shorter(t))[i + 1 : i + 1 + n] for i in range(len(shorter(t)))]
+    size = max(2, len({c for ts in samples_.values() for t in ts for c in shorter(t)}) + 1)
+    out = []
+    for lang in sorted(samples_):
+        counts = {order: collections.Counter(g for t in samples_[lang] for g in grams(t, order))}
+        for n in range(order - 1, 0, -1):
+            counts[n] = collections.Counter(g[1:] for g in counts[n + 1])
+        total = {n: collections.Counter() for n in counts}
+        kinds = {n: collections.Counter() for n in counts}
+        for n, c in counts.items():
+            for g, k in c.items():
+                total[n][g[:-1]] += k
+                kinds[n][g[:-1]] += 1
+
+        def p(g):
+            if not g:
+                return 1 / (4 * size)
+            n, head = len(g), g[:-1]
+            if not total[n][head]:
+                return p(g[1:])
+            return (max(counts[n][g] - discount, 0) + discount * kinds[n][head] * p(g[1:])) / total[n][head]
+
+        out.append(-sum(math.log(p(g)) for g in grams(text, order)) / len(grams(text, order)))
+    return out
+
+
+def test_cross_entropy_is_that_of_plain_counters():
+    rng = random.Random(8)
+    fitted = {k: [t + rng.choice(["", ".", "!", " 12 ", " Äh"]) for t in ts] for k, ts in samples(6, 12).items()}
+    model = language.Model(fitted)
+    asked = [t for ts in samples(7, 4).values() for t in ts] + ["zzz", "a", "x y z", "The, the; THE...", "ß" * 30]
+    got, n = model.score(asked)
+    for i, t in enumerate(asked):
+        assert got[i] == pytest.approx(brute_cross_entropy(fitted, t), abs=2e-4), t
+
+
 def test_kneser_ney_sums_to_one(model):
     """Over all characters that follow a context, with the floor for those never seen."""
     for l, _ in enumerate(model.langs):
