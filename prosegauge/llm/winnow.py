@@ -27,7 +27,7 @@ _POSITIONS = (1 << 24) - 1
 #: Edges of key ranges at most (each is cut into even parts where more buckets are needed), and the size of a coarse step among them.
 EDGES, STEP = 1024, 64
 #: Buckets for each shuffle partition: buckets fall to partitions by hash, so several even out.
-SPREAD = 6
+SPREAD = 24
 #: Scripts without spaces between words: Thai, Lao, Burmese, Khmer, kana and Han.
 UNSPACED = "[\\x{e00}-\\x{eff}\\x{1000}-\\x{109f}\\x{1780}-\\x{17ff}\\x{3040}-\\x{30ff}\\x{3400}-\\x{4dbf}\\x{4e00}-\\x{9fff}\\x{f900}-\\x{faff}\\x{20000}-\\x{3ffff}]"
 
