@@ -6,7 +6,7 @@ statements and SPDX lines, the paragraphs of usual headers and licences, and who
 
 The vector space has all words; document frequencies of the templates' words come from all files, and every other word weighs as
 the rarest of these. A unit's cosine is at most the root of the share of its squared weight that template words have, so units
-below ``LEAST`` are left out before any product. A file's own licence is that of its best sentence (from ``SENTENCE`` on) or block (from
+below ``LEAST`` are left out before any product. A mere claim of rights counts less, so that a licence beside it wins. A file's own licence is that of its best sentence (from ``SENTENCE`` on) or block (from
 ``BLOCK`` on). A file licenses its directory if it is named like a licence file and has a unit of ``NAMED_FROM`` or more, or if the whole
 of it is a whole licence (``WHOLE`` or more); a file that merely has or is a statement doesn't. Of several in a directory the nearest
 counts, then the first path. Each directory takes the licence of its nearest ancestor, itself included, by joins of paths; a file
@@ -30,6 +30,8 @@ from .common import LOWER, RangeHash, byte_class, slices, stored, table, tidy, u
 SENTENCE, BLOCK, NAMED_FROM, WHOLE, LEAST = 0.85, 0.75, 0.75, 0.8, 0.5
 OTHER = np.uint64(1 << 35)
 WORD = byte_class((0x30, 0x39), (0x61, 0x7A), (0x80, 0xFF))
+#: What the cosine to a mere claim counts, so that a licence beside it wins.
+CLAIM = 0.86
 #: Names of licence files.
 NAMED = "(?i)(^|/)(licen[sc]e|copying|notice|unlicense)[^/]*$"
 #: Directories up to which their licences are broadcast; beyond, they are dealt to this many parts each, so that a large directory is no one task's.
@@ -61,6 +63,7 @@ SPDX = [
     ("LGPL-2.1", "LGPL-2.1-only"), ("LGPL-2.1", "LGPL-2.1-or-later"), ("LGPL-3.0", "LGPL-3.0-only"), ("LGPL-3.0", "LGPL-3.0-or-later"), ("AGPL-3.0", "AGPL-3.0-only"), ("AGPL-3.0", "AGPL-3.0-or-later"),
     ("BSD-2-Clause", "BSD-2-Clause"), ("BSD-3-Clause", "BSD-3-Clause"), ("MPL-2.0", "MPL-2.0"), ("EPL-2.0", "EPL-2.0"), ("ISC", "ISC"), ("BSL-1.0", "BSL-1.0"), ("Zlib", "Zlib"), ("Unlicense", "Unlicense"), ("CC0-1.0", "CC0-1.0"), ("CC-BY-4.0", "CC-BY-4.0"), ("CC-BY-SA-4.0", "CC-BY-SA-4.0"),
 ]
+CLAIMS = [("Proprietary", "All rights reserved.")]
 #: Public standard texts, a paragraph each; a whole licence where "whole" is set.
 MIT_TEXT = [
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
@@ -106,8 +109,8 @@ WHOLES = [
     ("ISC", " ".join(["ISC License Copyright (c)", *ISC_TEXT])),
     ("Unlicense", " ".join(UNLICENSE_TEXT)),
 ]
-#: Licence, kind (part or whole) and text of each template.
-TEMPLATES = [(x, "part", t) for x, t in STATEMENTS] + [(x, "part", "SPDX-License-Identifier: " + t) for x, t in SPDX] + [(x, "part", t) for x, t in PARAGRAPHS] + [(x, "whole", t) for x, t in WHOLES]
+#: Licence, kind (part, whole or claim) and text of each template.
+TEMPLATES = [(x, "claim", t) for x, t in CLAIMS] + [(x, "part", t) for x, t in STATEMENTS] + [(x, "part", "SPDX-License-Identifier: " + t) for x, t in SPDX] + [(x, "part", t) for x, t in PARAGRAPHS] + [(x, "whole", t) for x, t in WHOLES]
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -133,6 +136,7 @@ class Templates:
     def __init__(self, given: list[tuple[str, str, str]] = TEMPLATES):
         self.names = [n for n, _, _ in given]
         self.whole = np.array([kind == "whole" for _, kind, _ in given])
+        self.scale = np.array([CLAIM if kind == "claim" else 1.0 for _, kind, _ in given])
         data, offs = utf8(pa.array([t for _, _, t in given], pa.string()))
         h, _, _, row = tokens(data, offs)
         self.words = np.unique(h)
@@ -147,7 +151,7 @@ class Templates:
         self.idf = np.log((1 + files) / (1 + frequency)) + 1
         self.other = float(self.idf.max())
         v = self.counts * self.idf
-        self.vectors = v / np.sqrt((v * v).sum(1, keepdims=True))
+        self.vectors = self.scale[:, None] * v / np.sqrt((v * v).sum(1, keepdims=True))
 
     def keys(self, h: np.ndarray) -> np.ndarray:
         """Numbers below 1 << 36 for words: a template word's place, or 35 bits of hash and a mark."""
@@ -278,3 +282,39 @@ def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     path = F.concat_ws("/", F.coalesce("source", F.lit("unknown")), F.coalesce("lang", F.lit("unknown")), F.coalesce(F.col("doc_id").cast("string"), F.lit("unknown")))
     return scan(docs.select("doc_id", path.alias("path"), "text"))
+
+
+def _op2_sql() -> str:
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    word = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]"
+    low = lambda x: f"translate({x}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    rows = ", ".join(f"({i}, {quoted(n)}, {quoted(k)}, {quoted(t)})" for i, (n, k, t) in enumerate(TEMPLATES))
+    best = lambda kind, x: f"(SELECT f, min_by(name, (-c, t)) AS {x}_license, max(c) AS {x}_cosine FROM scored WHERE kind = '{kind}' GROUP BY f)"
+    return f"""
+WITH templates(t, name, sort_, text) AS (VALUES {rows}),
+files AS (SELECT row_number() OVER () AS f, doc_id, coalesce(source, 'unknown') || '/' || coalesce(lang, 'unknown') AS dir, coalesce(CAST(doc_id AS VARCHAR), 'unknown') AS name, {low("coalesce(text, '')")} AS text FROM documents),
+of_template AS MATERIALIZED (SELECT t, name, sort_, w, count(*) AS n FROM (SELECT t, name, sort_, unnest(regexp_extract_all({low('text')}, '{word}+')) AS w FROM templates) GROUP BY ALL),
+units AS (
+  SELECT f, 'line' AS kind, unnest(string_split_regex(text, '\n|[.] ')) AS text FROM files
+  UNION ALL SELECT f, 'block', unnest(string_split_regex(text, '\n([\\x00-\\x09\\x0B-\\x2F\\x3A-\\x60\\x7B-\\x7F]*\n)+')) FROM files
+  UNION ALL SELECT f, 'whole', text FROM files),
+numbered AS (SELECT row_number() OVER () AS u, * FROM units),
+of_unit AS MATERIALIZED (SELECT f, kind, u, w, count(*) AS n FROM (SELECT f, kind, u, unnest(regexp_extract_all(text, '{word}+')) AS w FROM numbered) GROUP BY ALL),
+seen AS (SELECT w, count(*) AS n FROM of_unit WHERE kind = 'whole' GROUP BY w),
+idf AS MATERIALIZED (SELECT w, ln((1 + (SELECT count(*) FROM files)) / (1 + coalesce(max(seen.n), 0))::DOUBLE) + 1 AS x FROM (SELECT DISTINCT w FROM of_template) LEFT JOIN seen USING (w) GROUP BY w),
+vectors AS (SELECT t, name, sort_, w, n * x / sqrt(sum(n * x * n * x) OVER (PARTITION BY t)) * CASE WHEN sort_ = 'claim' THEN {CLAIM} ELSE 1 END AS v FROM of_template JOIN idf USING (w)),
+norms AS (SELECT u, sqrt(sum(pow(n * coalesce(x, (SELECT max(x) FROM idf)), 2))) AS size FROM of_unit LEFT JOIN idf USING (w) GROUP BY u),
+dots AS (SELECT f, kind, u, t, name, sum(n * x * v) AS dot FROM of_unit JOIN idf USING (w) JOIN vectors USING (w) WHERE (kind = 'whole') = (sort_ = 'whole') GROUP BY ALL),
+scored AS MATERIALIZED (SELECT f, kind, t, name, round(dot / size, 9) AS c FROM dots JOIN norms USING (u) WHERE round(dot / size, 9) >= {LEAST}),
+found AS (SELECT *, greatest(line_cosine, block_cosine) AS cosine,
+  CASE WHEN coalesce(line_cosine, 0) >= {SENTENCE} AND (line_cosine >= coalesce(block_cosine, 0) OR coalesce(block_cosine, 0) < {BLOCK}) THEN line_license WHEN block_cosine >= {BLOCK} THEN block_license END AS own
+  FROM files LEFT JOIN {best('line', 'line')} USING (f) LEFT JOIN {best('block', 'block')} USING (f) LEFT JOIN {best('whole', 'file')} USING (f)),
+dirs AS (SELECT dir, min_by(file_license, (-file_cosine, dir || '/' || name)) AS dir_license FROM found WHERE file_cosine >= {WHOLE} GROUP BY dir)
+SELECT doc_id, dir || '/' || name AS path, coalesce(own, dir_license) AS license, cosine, CASE WHEN own IS NOT NULL THEN 'own' WHEN dir_license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+  CASE WHEN own IS NULL AND dir_license IS NOT NULL THEN dir END AS from_dir
+FROM found LEFT JOIN dirs USING (dir)
+"""
+
+
+#: For files without a licence file's name, as those of the query are.
+OP2_SQL = _op2_sql()

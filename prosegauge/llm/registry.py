@@ -6,7 +6,7 @@ from .bpe import op8_bpe
 from .decontaminate import OP5_SQL, op5_decontaminate
 from .language import op10_language
 from .ledger import OP7_SQL, op7_ledger
-from .licenses import op2_licenses
+from .licenses import OP2_SQL, op2_licenses
 from .lm import op9_lm
 from .simhash import op6_simhash
 from .suffix_dedup import OP1_SQL, op1_suffix_dedup
@@ -25,4 +25,4 @@ QUERIES = {
     "op9_lm": op9_lm,
     "op10_language": op10_language,
 }
-ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op4_urls": OP4_SQL, "op5_decontaminate": OP5_SQL, "op7_ledger": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op1_suffix_dedup": OP1_SQL, "op2_licenses": OP2_SQL, "op4_urls": OP4_SQL, "op5_decontaminate": OP5_SQL, "op7_ledger": OP7_SQL}

@@ -139,8 +139,8 @@ def brute_licenses(files):
         for t in texts:
             c = collections.Counter(words(t))
             for i, ((name, k, v), size) in enumerate(zip(templates, sizes)):
-                if c and k == kind:
-                    x = round(sum(n * c[w] * idf[w] ** 2 for w, n in v.items()) / size / norm(c), 9)
+                if c and (k == "whole") == (kind == "whole"):
+                    x = round(sum(n * c[w] * idf[w] ** 2 for w, n in v.items()) / size / norm(c) * (licenses.CLAIM if k == "claim" else 1), 9)
                     if x >= licenses.LEAST:
                         out = max(out, (x, -i, name))
         return out[0], out[2]
@@ -169,7 +169,7 @@ def brute_licenses(files):
 def test_licenses_are_those_of_brute_force(spark):
     rng = random.Random(5)
     filler = lambda n: " ".join(rng.choice("parse the tree of nodes and return a list in order".split()) + rng.choice(["", "x", "ing"]) for _ in range(n))
-    pieces = [t for _, t in licenses.STATEMENTS] + ["SPDX-License-Identifier: " + t for _, t in licenses.SPDX] + [wrapped([t], m) for _, t in licenses.PARAGRAPHS for m in ("#", " *", "//", "")]
+    pieces = [t for _, t in licenses.STATEMENTS + licenses.CLAIMS * 8] + ["SPDX-License-Identifier: " + t for _, t in licenses.SPDX] + [wrapped([t], m) for _, t in licenses.PARAGRAPHS for m in ("#", " *", "//", "")]
     files = [(1, "a/LICENSE", "Released under the MIT License."), (4, "d/z.py", None), (5, "d/z.py", ""), (6, None, "Licensed under CC BY-NC 4.0."), (8, "a/q.py", "words " * 5000), (9, "e/one.py", licenses.STATEMENTS[4][1]), (10, "e/two.py", "code"), (10, "e/two.py", "code"), (None, "e/three", "x")]
     for i in range(120):
         path = "/".join(rng.choice("abc") for _ in range(rng.randint(0, 4)))
@@ -189,7 +189,7 @@ def test_licenses_are_those_of_brute_force(spark):
 @pytest.mark.parametrize("mark", ["#", " *", "//"])
 def test_usual_headers_are_found(spark, mark):
     """In a corpus whose words are all frequent, with names and years around them."""
-    around = f"{mark} Copyright 2021 Some Holder and the authors of this project\n{mark}\n"
+    around = f"{mark} Copyright 2021 Some Holder and the authors of this project\n{mark} All rights reserved.\n{mark}\n"
     gpl = licenses.GNU_HEADER
     headers = [("Apache-2.0", licenses.APACHE_HEADER), ("MIT", licenses.MIT_TEXT), ("BSD-3-Clause", [licenses.BSD_START, licenses.BSD_ONE, licenses.BSD_TWO, licenses.BSD_THREE, licenses.BSD_END]), ("GPL-3.0", [gpl.format("General Public License", "3")]), ("Apache-2.0", ["SPDX-License-Identifier: Apache-2.0"])]
     rows = [(i, f"p{i}/x", around + wrapped(t, mark, 60) + "\n\nint main() { return 0; }") for i, (_, t) in enumerate(headers)]
