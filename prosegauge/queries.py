@@ -547,18 +547,26 @@ def text_windows_sliding(spark, sf_dir):
     return rows.select("doc_id", "window_index", F.length("w").cast("bigint").alias("n_chars"), F.md5("w").alias("text_md5"))
 
 
-@query()
+FOLD = "{'done': CASE WHEN length(a.open || x.open) >= 256 THEN list_append(a.done, a.open || x.open) ELSE a.done END, 'open': CASE WHEN length(a.open || x.open) >= 256 THEN '' ELSE a.open || x.open END}"
+WINDOWS = f"""pieces AS (SELECT row_number() OVER () AS r, doc_id, text, list_transform(regexp_extract_all(text, {quoted(probability.PIECE)}), lambda p: {{'done': []::VARCHAR[], 'open': p}}) AS p FROM documents WHERE length({sql_strip('text')}) >= 50),
+folded AS (SELECT r, doc_id, text, list_reduce(list_prepend({{'done': []::VARCHAR[], 'open': ''}}, p), lambda a, x: {FOLD}) AS f FROM pieces),
+chunked AS (SELECT r, doc_id, text, CASE WHEN f.open <> '' THEN list_append(f.done, f.open) ELSE f.done END AS c FROM folded),
+cut AS (SELECT r, doc_id, CASE WHEN len(c) >= 2 THEN c ELSE list_transform(range(CASE WHEN length(text) <= 256 THEN 1 ELSE CAST(ceil((length(text) - 256) / 128.0) AS BIGINT) + 1 END), lambda i: substr(text, i * 128 + 1, 256)) END AS c FROM chunked),
+w AS MATERIALIZED (SELECT r, doc_id, CAST(unnest(range(len(c))) AS INTEGER) AS window_index, unnest(c) AS text FROM cut)"""
+
+
+@query(f"WITH {WINDOWS}, placed AS (SELECT *, sum(length(text)) OVER (PARTITION BY r ORDER BY window_index) AS upto FROM w) SELECT doc_id, window_index, CAST(upto - length(text) AS INTEGER) AS start_pos, CAST(upto AS INTEGER) AS end_pos FROM placed")
 def text_windows_chunks(spark, sf_dir):
     """Windows of whole sentences, or sliding ones where there are too few."""
     return probability.windows(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).select("doc_id", "window_index", "start_pos", "end_pos")
 
 
 #: Benchmark items are short, so each is one window; a scorer of characters reads them.
-BIGRAMS = f"""w AS (SELECT item_id AS doc_id, text FROM benchmark WHERE length({sql_strip('text')}) >= 50),
-chars AS (SELECT doc_id, i AS pos, substr(text, i, 1) AS c, substr(text, i - 1, 1) AS p FROM (SELECT doc_id, text, unnest(range(2, length(text) + 1)) AS i FROM w)),
+TOKENS = """chars AS MATERIALIZED (SELECT doc_id, window_index, i AS pos, substr(text, i, 1) AS c, substr(text, i - 1, 1) AS p FROM (SELECT doc_id, window_index, text, unnest(range(2, length(text) + 1)) AS i FROM w)),
 counts AS (SELECT p, c, count(*) AS n FROM chars GROUP BY p, c),
 model AS (SELECT p, c, row_number() OVER (PARTITION BY p ORDER BY n DESC, c) AS rank, (n + 0.5::DOUBLE) / (sum(n) OVER (PARTITION BY p) + 0.5::DOUBLE * count(*) OVER (PARTITION BY p)) AS prob FROM counts),
-tokens AS (SELECT doc_id, pos, ln(prob + 1e-10) AS ll, rank FROM chars JOIN model USING (p, c))"""
+tokens AS MATERIALIZED (SELECT doc_id, window_index, pos, ln(prob + 1e-10) AS ll, rank FROM chars JOIN model USING (p, c))"""
+BIGRAMS = f"w AS (SELECT item_id AS doc_id, 0 AS window_index, text FROM benchmark WHERE length({sql_strip('text')}) >= 50),\n{TOKENS}"
 
 
 def _tokens(spark, sf_dir) -> DataFrame:
@@ -610,23 +618,44 @@ def _whole_texts(spark, sf_dir) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
-@query()
+@query(f"WITH {WINDOWS},\n{TOKENS} SELECT doc_id, window_index, CAST(count(*) AS BIGINT) AS token_count, {sql_rounded('exp(-avg(ll))', 4)} AS ppl, {sql_rounded('avg(ll) / avg(ln(rank + 1))', 4)} AS lrr, {sql_rounded('avg(CASE WHEN rank = 1 THEN 1.0::DOUBLE ELSE 0.0 END)', 4)} AS top1_ratio FROM tokens GROUP BY doc_id, window_index HAVING count(*) >= {probability.FEWEST - 1}")
 def document_window_ppl(spark, sf_dir):
     """bigram_window_ppl for every window of the documents; the bigrams are those of all windows."""
     w = probability.window_scores(probability.bigram_tokens(probability.windows(_whole_texts(spark, sf_dir))))
     return w.select("doc_id", "window_index", "token_count", *[rounded(F.col(c), 4).alias(c) for c in ("ppl", "lrr", "top1_ratio")])
 
 
-@query()
+@query(f"WITH {WINDOWS},\n{TOKENS}, {RANKS} SELECT * FROM ranks")
 def document_rank_distribution(spark, sf_dir):
     """rank_distribution over all windows of each document."""
     return probability.rank_distribution(probability.bigram_tokens(probability.windows(_whole_texts(spark, sf_dir)))).drop("n_tokens")
 
 
-@query()
+def _wide_sql(x: str) -> str:
+    return f"CAST(round(CAST({x} AS DECIMAL(38,10)), 2) AS DOUBLE)"
+
+
+def _of_tokens(x: str) -> str:
+    return sql_rounded(f"sum({x})::DOUBLE / sum(n)", 4)
+
+
+FACTORS = "[CASE WHEN ppl < 35 THEN 0.8::DOUBLE WHEN ppl < 50 THEN 0.5::DOUBLE END, CASE WHEN lrr > -0.3 THEN 0.9::DOUBLE WHEN lrr > -0.5 THEN 0.6::DOUBLE END, CASE WHEN top1_ratio > 0.7 THEN 0.7::DOUBLE END, CASE WHEN rare_word_ratio < 0.02 THEN 0.5::DOUBLE END, CASE WHEN local >= 2 THEN 0.6::DOUBLE END]"
+REPORT = f"""each AS (SELECT doc_id, window_index, count(*) AS n, sum(ll) AS ll, sum(ln(rank + 1)) AS lr, count(*) FILTER (WHERE rank = 1) AS n1, count(*) FILTER (WHERE rank <= 5) AS n5, count(*) FILTER (WHERE rank > 100) AS rare, sum(rank) AS of_ranks, list(rank) AS ranks
+  FROM tokens GROUP BY doc_id, window_index HAVING count(*) >= {probability.FEWEST - 1}),
+sums AS (SELECT doc_id, sum(exp(-ll / n)) / count(*) AS ppl, min(exp(-ll / n)) AS low, max(exp(-ll / n)) AS high, var_pop(exp(-ll / n)) AS var, count(*) FILTER (WHERE exp(-ll / n) < 25) AS local, min(window_index) AS first_window, sum(ll) / sum(n) AS avg_ll, sum(lr) / sum(n) AS avg_lr, sum(ll) / sum(lr) AS lrr,
+  {_of_tokens('n1')} AS top1_ratio, {_of_tokens('n5')} AS top5_ratio, {_of_tokens('rare')} AS rare_word_ratio, {sql_rounded('sum(of_ranks)::DOUBLE / sum(n)', 2)} AS mean_rank, CAST(list_sort(flatten(list(ranks)))[CAST(sum(n) AS BIGINT) // 2 + 1] AS BIGINT) AS median_rank FROM each GROUP BY doc_id),
+judged AS (SELECT *, list_filter({FACTORS}, lambda x: x IS NOT NULL) AS f FROM sums),
+risks AS (SELECT *, CASE WHEN len(f) = 0 THEN 0.0::DOUBLE ELSE {sql_rounded('1 - list_reduce(list_prepend(1.0::DOUBLE, list_transform(f, lambda x: 1 - x)), lambda a, b: a * b)', 4)} END AS risk_score FROM judged)
+SELECT doc_id, {_wide_sql('ppl')} AS overall_ppl, {_wide_sql('low')} AS min_ppl, {_wide_sql('high')} AS max_ppl, {_wide_sql('var')} AS ppl_variance, {sql_rounded('lrr', 4)} AS lrr_score, {sql_rounded('avg_ll', 4)} AS avg_log_likelihood, {sql_rounded('avg_lr', 4)} AS avg_log_rank,
+  top1_ratio, top5_ratio, rare_word_ratio, mean_rank, median_rank, risk_score, {band_sql('risk_score')} AS risk_level FROM risks
+UNION ALL SELECT doc_id, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0, 0.0, 'low' FROM documents WHERE NOT coalesce(length({sql_strip('text')}) >= 50, false)"""
+
+
+@query(f"WITH {WINDOWS},\n{TOKENS},\n{REPORT}")
 def probability_report(spark, sf_dir):
-    """The whole probability report of the documents, over all their windows."""
-    return probability.probability(_whole_texts(spark, sf_dir)).drop("reasons", "suggestions")
+    """The whole probability report of the documents, over all their windows; the ranks of short texts are 0."""
+    report = probability.probability(_whole_texts(spark, sf_dir)).drop("reasons", "suggestions", "first_window")
+    return report.withColumns({c: F.coalesce(c, F.lit(0).cast(report.schema[c].dataType)) for c in ("mean_rank", "median_rank")})
 
 
 # ---- rewrites ----------------------------------------------------------------------------------------------------------------
