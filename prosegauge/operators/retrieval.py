@@ -7,6 +7,7 @@ of its rows, and queries are held against all of it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,8 @@ DIMENSIONS, TOP_K, RRF, LEAD = 64, 5, 60, 64
 MOST_ROWS = 20_000
 #: Queries, or index rows, that are held as one matrix; rows held against it at once.
 BLOCK, TILE = 4096, 1024
+#: Beginnings of queries that are held as one automaton.
+LEADS = 20_000
 
 
 class IndexUnavailableError(RuntimeError):
@@ -170,15 +173,57 @@ def knn_in_blocks(queries: DataFrame, index: DataFrame, k: int = TOP_K, hold_ind
     return found.withColumn("similarity", rounded(F.col("similarity"), 6)).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def _containing(shared, k: int):
+    """For each text that documents are searched for, the k least ids of a task's documents that contain it, in one pass over each document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        leads = shared.value
+        found: list[list] = [[] for _ in leads]
+        machine = ahocorasick.Automaton()
+        for i, lead in enumerate(leads):
+            if lead:
+                machine.add_word(lead, i)
+        machine.make_automaton()
+        every = [i for i, lead in enumerate(leads) if not lead]  # all documents contain an empty text
+        kind = None
+        for batch in batches:
+            kind = batch.column(0).type
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if text is not None:
+                    for i in {i for _, i in machine.iter(text)} | set(every) if len(machine) else every:
+                        found[i].append(key)
+                        if len(found[i]) > 64 * k:
+                            found[i] = sorted(found[i], key=_nulls_first)[:k]
+        rows = [(leads[i], x) for i, ids in enumerate(found) for x in sorted(ids, key=_nulls_first)[:k]]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in rows], pa.string()), pa.array([x[1] for x in rows], kind)], names=["lead", "id"])
+
+    return run
+
+
+def _nulls_first(x):
+    return x is not None, x
+
+
 def lexical_in_blocks(queries: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:
-    """As lexical, for an index of any size: the queries are broadcast in blocks. A null text is contained in nothing."""
-    blocks = max(1, -(-queries.count() // BLOCK))
-    found = None
+    """As lexical, for an index of any size: distinct first characters are held in blocks, and all documents pass each once.
+
+    A task gives the k least ids for each at most, so a beginning that many documents share makes no more rows. A null text is contained in nothing.
+    """
+    spark = queries.sparkSession
+    kind = index.schema["id"].dataType.simpleString()
+    asked = queries.select("query_id", F.left("text", F.lit(LEAD)).alias("lead")).where("lead IS NOT NULL")
+    leads = asked.select("lead").distinct()
+    blocks = max(1, -(-leads.count() // LEADS))
+    parts = []
     for b in range(blocks):
-        part = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).select("query_id", F.left("text", F.lit(LEAD)).alias("lead"))
-        pairs = index.select("id", "document").join(F.broadcast(part), F.contains(F.col("document"), F.col("lead"))).select("query_id", "id")
-        found = pairs if found is None else found.unionByName(pairs)
-    return found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("id"))).where(F.col("rank") <= k)
+        held = [r[0] for r in leads.where(F.pmod(F.xxhash64("lead"), F.lit(blocks)) == b).collect()]
+        parts.append(index.select("id", "document").mapInArrow(_containing(spark.sparkContext.broadcast(held), k), f"lead string, id {kind}"))
+    found = reduce(DataFrame.unionByName, parts)
+    best = found.withColumn("rank", F.row_number().over(Window.partitionBy("lead").orderBy("id"))).where(F.col("rank") <= k)
+    return asked.join(best, "lead").select("query_id", "id", "rank")
 
 
 def lexical(queries: DataFrame, index: DataFrame, k: int = TOP_K) -> DataFrame:

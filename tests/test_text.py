@@ -356,12 +356,24 @@ def test_every_vector_can_be_a_neighbour(spark, tmp_path, monkeypatch):
     want = {q: sorted(range(300), key=lambda i: (-like[q, i], i))[:5] for q in range(0, 300, 20)}
     for size in (4096, 4):
         monkeypatch.setattr(retrieval, "BLOCK", size)
+        monkeypatch.setattr(retrieval, "LEADS", size)
         got = queries.QUERIES["knn_topk"](spark, str(tmp_path)).collect()
         assert {q: [r.id for r in sorted((r for r in got if r.query_id == q), key=lambda r: r.rank)] for q in want} == want and want[40][:2] == [40, 299]
         fused = {(r.query_id, r.id): r.fused for r in queries.QUERIES["hybrid_rrf"](spark, str(tmp_path)).collect()}
         assert fused[20, 20] == round(2 / 61, 8) and fused[20, 170] >= round(1 / 62, 8) and fused[280, 280] == round(1 / 61, 8)
 
 
+def test_documents_that_contain_a_beginning(spark, monkeypatch):
+    rows = [(i, t) for i, t in enumerate(["ab", "xaby", "", None, "b", "ba ab", "aab", "é漢ab", "x" * 70, "y" + "x" * 64])]
+    queries = spark.createDataFrame(rows + [(20, "ab"), (21, "nowhere")], "query_id int, text string")
+    index = spark.createDataFrame([(i, t) for i, t in rows] + [(30 + i, "ab" * i) for i in range(400)], "id int, document string").repartition(3)
+    want = {(q, i, n) for q, t in [*rows, (20, "ab"), (21, "nowhere")] if t is not None for n, i in enumerate(sorted(r.id for r in index.collect() if r.document is not None and t[:64] in r.document)[:5], 1)}
+    for size in (20_000, 2):
+        monkeypatch.setattr(retrieval, "LEADS", size)
+        assert {tuple(r) for r in retrieval.lexical_in_blocks(queries, index).collect()} == want
+    assert {tuple(r) for r in retrieval.lexical(queries, index).collect()} == want
+
+
 def test_case_search_takes_every_sentence(spark, tmp_path):
     import hashlib
 
