@@ -30,8 +30,10 @@ from .common import arrow_column, kept_by, table, tidy
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = re.compile(f"[{SPACE}]+")
-#: Chunks and words that a worker keeps in each of two generations, and the longest that it keeps: at most some 60 MB a worker.
+#: Chunks and words that a worker keeps in each of two generations, and the longest that it keeps: at most some 60 MB a worker, for
+#: stages that share it with others; and tables of some 200 MB for a job of its own.
 KEPT, KEPT_WORDS, KEPT_CHARS = 70_000, 40_000, 32
+ALONE = 250_000, 150_000
 INF = 1 << 62
 #: Children of a node of the segment tree.
 WIDE = 24
@@ -206,13 +208,13 @@ class Encoder:
         return " ".join(ids), " ".join(tokens)
 
 
-def encoder_of(vocabulary: str) -> Encoder:
-    """The encoder of a worker, by its vocabulary: it outlives the task, with its tables, until another operator works there."""
-    kept, name = kept_by("bpe"), hash(vocabulary)
-    if name not in kept:
-        kept.clear()
-        kept[name] = Encoder(Vocabulary(vocabulary))
-    return kept[name]
+def encoder_of(vocabulary: str, kept: int = KEPT, kept_words: int = KEPT_WORDS) -> Encoder:
+    """The encoder of a worker, by its vocabulary and tables: it outlives the task, until another operator works there."""
+    have, name = kept_by("bpe"), (hash(vocabulary), kept, kept_words)
+    if name not in have:
+        have.clear()
+        have[name] = Encoder(Vocabulary(vocabulary), kept, kept_words)
+    return have[name]
 
 
 def vocabulary_text(path: str) -> str:
@@ -220,16 +222,16 @@ def vocabulary_text(path: str) -> str:
         return f.read()
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text") -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", tables: tuple[int, int] = ALONE) -> DataFrame:
     """key, n_tokens, ids_text (decimal ids joined by one space) and decoded of every whole text.
 
-    vocabulary is the text of the tokenizer file (under 2 MB; it travels with the task's closure by broadcast).
+    vocabulary is the text of the tokenizer file (under 2 MB; it is broadcast); tables: chunks and words that a worker keeps.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder_of(shared.value)
+        encode = encoder_of(shared.value, *tables)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
