@@ -1,7 +1,8 @@
 """BPE encoding and decoding with a segment tree over adjacent pair ranks.
 
 For every word the ranks of its adjacent pairs are the leaves of a segment tree. The root holds the lowest rank and, on ties,
-the leftmost position; a merge changes at most three leaves, each in logarithmic time, until no mergeable pair is left.
+the leftmost position; a merge changes at most three leaves, each in logarithmic time, until no mergeable pair is left. Words whose
+tree is one node (most are) are merged together, each a row of a matrix.
 
 The file is the public ``word_bpe_49k.json``: NFC, white space collapsed, lower case, words by pattern, bytes as printable
 characters, ``</w>`` at word ends. White space parts all words, so what stands between white space is encoded once and kept in
@@ -20,20 +21,23 @@ import sys
 import unicodedata
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_column, kept_by, table, tidy
+from .common import arrow_column, kept_by, slices, table, tidy, utf8
 
 #: Code points that str.split() parts at but the library's \s doesn't.
 ODD_SPACE = "\x1c\x1d\x1e\x1f"
 SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 WHITE = re.compile(f"[{SPACE}]+")
-#: Chunks and words that a worker keeps in each of two generations, and the longest that it keeps: at most some 60 MB a worker, for
-#: stages that share it with others; and tables of some 200 MB for a job of its own.
-KEPT, KEPT_WORDS, KEPT_CHARS = 70_000, 40_000, 32
-ALONE = 250_000, 150_000
+#: Chunks that a worker keeps in each of two generations, and the longest that it keeps: at most some 60 MB a worker, for stages that
+#: share it with others; and tables of some 200 MB for a job of its own.
+KEPT, KEPT_CHARS = 90_000, 32
+ALONE = 300_000
+#: Bytes of text whose words are merged together, and the least words of a length for that.
+LEARNT, MANY = 1 << 20, 16
 INF = 1 << 62
 #: Children of a node of the segment tree.
 WIDE = 24
@@ -141,51 +145,133 @@ def merge(ids: list[int], pairs: dict[int, int], made: list[int]) -> list[int]:
     return [x for x in ids if x >= 0]
 
 
+class Ranks:
+    """Pair ranks in an open-addressed table, for many pairs at once; pairs that don't merge rank as INF."""
+
+    BITS = 20
+
+    def __init__(self, pairs: dict[int, int], made: list[int]):
+        self.keys = np.array([*pairs, -1], np.int64)
+        self.ranks = np.array([*pairs.values(), INF], np.int64)
+        self.made = np.array([*made, 0], np.int64)
+        self.slots = np.full(1 << self.BITS, len(pairs), np.int32)
+        at, todo = self._slot(self.keys[:-1]), np.arange(len(pairs))
+        while len(todo):  # of those that want a free slot one gets it; the others go on
+            free = self.slots[at] == len(pairs)
+            self.slots[at[free]] = todo[free]
+            left = self.slots[at] != todo
+            at, todo = (at[left] + 1) & ((1 << self.BITS) - 1), todo[left]
+
+    def _slot(self, keys: np.ndarray) -> np.ndarray:
+        return (keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def __call__(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        keys = (a << 20 | b).ravel()
+        at = self._slot(keys)
+        found = self.slots[at]
+        open_ = np.flatnonzero((self.keys[found] != keys) & (found != len(self.keys) - 1))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & ((1 << self.BITS) - 1)
+            found[open_] = self.slots[at[open_]]
+            open_ = open_[(self.keys[found[open_]] != keys[open_]) & (found[open_] != len(self.keys) - 1)]
+        return self.ranks[found].reshape(a.shape)
+
+
+def merge_rows(ids: np.ndarray, ranks: Ranks) -> list[list[int]]:
+    """merge() of many words of one length whose trees are one node: a row each, the root being the first least leaf of a row."""
+    out: list[list[int]] = [[]] * len(ids)
+    row = np.arange(len(ids))
+    leaves = ranks(ids[:, :-1], ids[:, 1:])
+    while len(row):
+        n = ids.shape[1]
+        root = leaves.argmin(1) if n > 1 else np.zeros(len(row), np.int64)
+        least = leaves[np.arange(len(row)), root] if n > 1 else np.full(len(row), INF)
+        live = least < INF
+        for i, x in zip(row[~live].tolist(), ids[~live].tolist()):
+            out[i] = x
+        ids, leaves, row, root, least = ids[live], leaves[live], row[live], root[live], least[live]
+        if not len(row):
+            break
+        # the right part goes, and so does the merged pair's leaf; those of its neighbours are new
+        k = np.arange(len(row))
+        after = np.arange(n - 1)
+        ids = np.take_along_axis(ids, after + (after > root[:, None]), 1)
+        ids[k, root] = x = ranks.made[least]
+        after = np.arange(n - 2)
+        leaves = np.take_along_axis(leaves, after + (after >= root[:, None]), 1)
+        left, right = root > 0, root < n - 2
+        leaves[k[left], root[left] - 1] = ranks(ids[k[left], root[left] - 1], x[left])
+        leaves[k[right], root[right]] = ranks(x[right], ids[k[right], root[right] + 1])
+    return out
+
+
+def joined(parts: list[tuple[str, str]]) -> tuple[str, str]:
+    return parts[0] if len(parts) == 1 else (" ".join([a for a, _ in parts]), " ".join([b for _, b in parts]))
+
+
 class Encoder:
     """Encodes and decodes whole texts."""
 
-    def __init__(self, vocabulary: Vocabulary, kept: int = KEPT, kept_words: int = KEPT_WORDS):
-        self.v, self.kept, self.kept_words = vocabulary, kept, kept_words
+    def __init__(self, vocabulary: Vocabulary, kept: int = KEPT):
+        self.v, self.kept = vocabulary, kept
         self.find = word_pattern().findall
         self.parts = re.compile("(" + "|".join(map(re.escape, vocabulary.special)) + ")") if vocabulary.special else None
         self.ascii = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+").findall
         self.chunks: dict[str, tuple[str, str]] = {}
         self.old_chunks: dict[str, tuple[str, str]] = {}
-        self.words: dict[str, list[int]] = {}
-        self.old_words: dict[str, list[int]] = {}
-
-    def word(self, word: str) -> list[int]:
-        if (ids := self.words.get(word)) is not None:
-            return ids
-        if (ids := self.old_words.get(word)) is None:
-            raw = word.encode("utf-8", "surrogatepass")
-            inner = self.v.inner
-            ids = [inner[b] for b in raw]
-            ids[-1] = self.v.last[raw[-1]]
-            ids = merge(ids, self.v.pairs, self.v.made)
-        if len(word) <= KEPT_CHARS:
-            if len(self.words) >= self.kept_words:
-                self.old_words, self.words = self.words, {}
-            self.words[word] = ids
-        return ids
+        self.ranks = Ranks(vocabulary.pairs, vocabulary.made)
+        self.inner, self.last = np.array(vocabulary.inner), np.array(vocabulary.last)
+
+    def words_of(self, chunk: str) -> list[str]:
+        """The words of what stands between white space."""
+        if chunk.isascii():
+            low = chunk.lower()
+            return [low] if low.isalpha() else self.ascii(low)
+        # the library lowers each character by itself
+        return self.find(unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower())
+
+    def strings(self, words: set[str]) -> dict[str, tuple[str, str]]:
+        """The ids and the tokens of each word, each joined by one space."""
+        by_size: dict[int, list[tuple[str, bytes]]] = {}
+        for w in words:
+            raw = w.encode("utf-8", "surrogatepass")
+            by_size.setdefault(len(raw), []).append((w, raw))
+        names, tokens, out = self.v.names, self.v.tokens, {}
+        for n, some in by_size.items():
+            raw = np.frombuffer(b"".join([r for _, r in some]), np.uint8).reshape(-1, n)
+            ids = self.inner[raw]
+            ids[:, -1] = self.last[raw[:, -1]]
+            rows = merge_rows(ids, self.ranks) if n <= WIDE + 1 and len(some) >= MANY else [merge(x, self.v.pairs, self.v.made) for x in ids.tolist()]
+            for (w, _), x in zip(some, rows):
+                out[w] = " ".join([names[i] for i in x]), " ".join([tokens[i] for i in x])
+        return out
 
-    def chunk(self, chunk: str) -> tuple[str, str]:
-        """The ids and the tokens of what stands between white space, each joined by one space."""
-        if (out := self.old_chunks.get(chunk)) is None:
-            if chunk.isascii():
-                low = chunk.lower()
-                ids = self.word(low) if low.isalpha() else [i for w in self.ascii(low) for i in self.word(w)]
-            else:
-                low = unicodedata.normalize("NFC", chunk).replace("Σ", "σ").lower()  # the library lowers each character by itself
-                ids = [i for w in self.find(low) for i in self.word(w)]
-            names, tokens = self.v.names, self.v.tokens
-            out = " ".join([names[i] for i in ids]), " ".join([tokens[i] for i in ids])
+    def keep(self, chunk: str, out: tuple[str, str]) -> tuple[str, str]:
         if len(chunk) <= KEPT_CHARS:
             if len(self.chunks) >= self.kept:
                 self.old_chunks, self.chunks = self.chunks, {}
             self.chunks[chunk] = out
         return out
 
+    def learn(self, texts: list[str]) -> None:
+        """Keeps all chunks that the texts have and the tables don't; their words are merged together."""
+        todo: set[str] = set()
+        for t in texts:
+            todo.update(t.split())
+        todo.difference_update(self.chunks)
+        of = {c: self.words_of(c) for c in todo if len(c) <= KEPT_CHARS and c not in self.old_chunks}
+        made = self.strings({w for ws in of.values() for w in ws})
+        for c, ws in of.items():
+            self.keep(c, joined([made[w] for w in ws]))
+
+    def chunk(self, chunk: str) -> tuple[str, str]:
+        """The ids and the tokens of what stands between white space."""
+        if (out := self.old_chunks.get(chunk)) is None:
+            words = self.words_of(chunk)
+            made = self.strings(set(words))
+            out = joined([made[w] for w in words])
+        return self.keep(chunk, out)
+
     def plain(self, text: str) -> list[tuple[str, str]]:
         odd = any(c in text for c in ODD_SPACE)
         made, out = self.chunk, []
@@ -208,12 +294,12 @@ class Encoder:
         return " ".join(ids), " ".join(tokens)
 
 
-def encoder_of(vocabulary: str, kept: int = KEPT, kept_words: int = KEPT_WORDS) -> Encoder:
+def encoder_of(vocabulary: str, kept: int = KEPT) -> Encoder:
     """The encoder of a worker, by its vocabulary and tables: it outlives the task, until another operator works there."""
-    have, name = kept_by("bpe"), (hash(vocabulary), kept, kept_words)
+    have, name = kept_by("bpe"), (hash(vocabulary), kept)
     if name not in have:
         have.clear()
-        have[name] = Encoder(Vocabulary(vocabulary), kept, kept_words)
+        have[name] = Encoder(Vocabulary(vocabulary), kept)
     return have[name]
 
 
@@ -222,24 +308,28 @@ def vocabulary_text(path: str) -> str:
         return f.read()
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", tables: tuple[int, int] = ALONE) -> DataFrame:
+def learnt(rows, column: pa.Array, encode: Encoder) -> Iterator[tuple]:
+    """Slices of rows with their texts, whose words the encoder has learnt."""
+    _, offs = utf8(column)
+    for i, j in slices(offs, LEARNT):
+        texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
+        encode.learn(texts)
+        yield rows.slice(i, j - i), texts
+
+
+def encode_decode(docs: DataFrame, vocabulary: str, key: str = "doc_id", text: str = "text", kept: int = ALONE) -> DataFrame:
     """key, n_tokens, ids_text (decimal ids joined by one space) and decoded of every whole text.
 
-    vocabulary is the text of the tokenizer file (under 2 MB; it is broadcast); tables: chunks and words that a worker keeps.
+    vocabulary is the text of the tokenizer file (under 2 MB; it is broadcast); kept: chunks that a worker keeps.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder_of(shared.value, *tables)
+        encode = encoder_of(shared.value, kept)
         for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids, decoded = [], []
-                for t in part.column(1).to_pylist():
-                    a, b = encode(t or "")
-                    ids.append(a)
-                    decoded.append(b)
+            for part, texts in learnt(batch, batch.column(1), encode):
+                ids, decoded = zip(*map(encode, texts))
                 counts = pa.array([a.count(" ") + 1 if a else 0 for a in ids], pa.int64())
                 yield pa.RecordBatch.from_arrays([part.column(0), counts, pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["key", "n_tokens", "ids_text", "decoded"])
 
@@ -255,7 +345,7 @@ def with_tokens(docs: DataFrame, vocabulary: str, text: str = "text", into: str
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encode = encoder_of(shared.value)
         for column in batches:
-            both = [encode(t or "") for t in column.to_pylist()]
+            both = [x for _, texts in learnt(column, column, encode) for x in map(encode, texts)]
             cols = [a.count(" ") + 1 if a else 0 for a, _ in both], [a for a, _ in both], [b for _, b in both]
             yield pa.StructArray.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.string(), pa.string()))], names=["n_tokens", "ids_text", "decoded"])
 

@@ -752,9 +752,30 @@ def test_bpe_of_long_words(encoder, library):
         same(encoder, library, t)
 
 
+def test_words_merged_together_are_those_merged_alone(encoder):
+    rng = random.Random(9)
+    for n in (1, 2, 3, 7, 25):
+        ids = np.array([[rng.choice(encoder.v.inner[97:110]) for _ in range(n - 1)] + [encoder.v.last[rng.randint(97, 110)]] for _ in range(300)])
+        assert bpe.merge_rows(ids, encoder.ranks) == [bpe.merge(x, encoder.v.pairs, encoder.v.made) for x in ids.tolist()]
+    a, b = np.array([rng.randrange(49_000) for _ in range(5000)]), np.array([rng.randrange(49_000) for _ in range(5000)])
+    known = list(encoder.v.pairs)[:5000]
+    a, b = np.append(a, [k >> 20 for k in known]), np.append(b, [k & (1 << 20) - 1 for k in known])
+    assert encoder.ranks(a, b).tolist() == [encoder.v.pairs.get(x << 20 | y, bpe.INF) for x, y in zip(a.tolist(), b.tolist())]
+
+
+def test_learnt_texts_are_encoded_alike(library):
+    encoder, rng = bpe.Encoder(bpe.Vocabulary(bpe.vocabulary_text(bpe.default_path())), 500), random.Random(4)
+    make = lambda: "".join(rng.choice("abcdeéßΣ'.,3 \n\x1c漢<|") for _ in range(rng.randint(0, 400)))
+    texts = [make() for _ in range(60)] + ["", "word " * 500, "x" * 3000, "<|endoftext|> a <|endoftext|>b"]
+    for some in (texts[:30], texts[30:], texts):
+        encoder.learn(some)
+        for t in some:
+            same(encoder, library, t)
+
+
 def test_bpe_table_sizes_do_not_matter(library):
     v = bpe.Vocabulary(bpe.vocabulary_text(bpe.default_path()))
-    small, rng = bpe.Encoder(v, 3, 2), random.Random(3)
+    small, rng = bpe.Encoder(v, 3), random.Random(3)
     for _ in range(200):
         same(small, library, " ".join(rng.choice(["the", "The,", "of", "it's", "naïve", "retitioning"]) for _ in range(40)))
 
