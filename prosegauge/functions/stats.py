@@ -32,18 +32,23 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def _rounded(value: Column, digits: int) -> Column:
+    """Rounded, by the wide form only where the value needs it: one sentence may be a whole document."""
+    return F.coalesce(F.round(value.try_cast("decimal(18,10)"), digits).cast("double"), rounded(value, digits, wide=True))
+
+
 def _ratio(a: Column, b: Column) -> Column:
-    return F.when(b > 0, rounded(a / b, 4)).otherwise(F.lit(0.0))
+    return F.when(b > 0, _rounded(a / b, 4)).otherwise(F.lit(0.0))
 
 
 def uniform_groups(lengths: Column, tolerance: int = TOLERANCE) -> Column:
     """Maximal runs of three or more sentences whose neighbours differ by at most the tolerance."""
-    start = F.struct(F.lit(0).alias("groups"), F.lit(0).alias("run"), F.lit(-1).alias("last"))
+    start = F.struct(F.lit(0).alias("groups"), F.lit(0).alias("run"), F.lit(-1).cast("bigint").alias("last"))
 
     def step(a: Column, x: Column) -> Column:
         near = (a["last"] >= 0) & (F.abs(x - a["last"]) <= tolerance)
         run = F.when(near, a["run"] + 1).otherwise(F.lit(1))
-        return F.struct((a["groups"] + F.when(run == 3, 1).otherwise(0)).alias("groups"), run.alias("run"), x.alias("last"))
+        return F.struct((a["groups"] + F.when(run == 3, 1).otherwise(0)).alias("groups"), run.alias("run"), x.cast("bigint").alias("last"))
 
     return F.aggregate(lengths, start, step)["groups"]
 
@@ -54,25 +59,26 @@ def features(text: Column, names: list[str] | None = None) -> Column:
     All listed words and patterns have a Chinese character, so a text without one isn't searched for them.
     """
 
-    def of(x: Column) -> dict:
+    def of(x: Column, total: Column) -> dict:
         lengths, found = x["lengths"], x["words"]
         searched = lambda count: F.when(F.size(found) > 0, count).otherwise(F.lit(0).cast("bigint"))
-        n = F.size(lengths)
-        total = F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, v: a + v)
+        n = F.size(lengths).cast("bigint")  # lengths are long too: a product of two of these is beyond an integer from 46,341 characters on
         mean = F.when(n > 0, total / n).otherwise(F.lit(0.0))
         squares = F.aggregate(lengths, F.lit(0).cast("bigint"), lambda a, v: a + v * v)
         # population variance from whole numbers, so that no order of additions matters
-        spread = F.when(n > 0, F.sqrt((squares * n - total * total).cast("double") / (n * n))).otherwise(F.lit(0.0))
-        deltas = F.aggregate(F.zip_with(F.slice(lengths, 2, F.greatest(n - 1, F.lit(0))), F.slice(lengths, 1, F.greatest(n - 1, F.lit(0))), lambda a, b: F.abs(a - b)), F.lit(0).cast("bigint"), lambda a, v: a + v)
+        scaled = squares.cast("decimal(19,0)") * n.cast("decimal(10,0)") - (total * total).cast("decimal(19,0)")
+        spread = F.when(n > 0, F.sqrt(scaled.cast("double") / (n * n))).otherwise(F.lit(0.0))
+        steps = F.greatest(n - 1, F.lit(0)).cast("int")
+        deltas = F.aggregate(F.zip_with(F.slice(lengths, 2, steps), F.slice(lengths, 1, steps), lambda a, b: F.abs(a - b)), F.lit(0).cast("bigint"), lambda a, v: a + v)
         extreme = F.size(F.filter(lengths, lambda v: (2 * v * n <= total) | (2 * v * n >= 3 * total)))
         words = F.size(found)
         return {
-            "sentence_count": lambda: n.cast("bigint"),
+            "sentence_count": lambda: n,
             "word_count": lambda: words.cast("bigint"),
-            "sentence_length_mean": lambda: rounded(mean, 2),
-            "sentence_length_std": lambda: rounded(spread, 2),
+            "sentence_length_mean": lambda: _rounded(mean, 2),
+            "sentence_length_std": lambda: _rounded(spread, 2),
             "sentence_length_cv": lambda: F.when(mean > 0, rounded(spread / mean, 4)).otherwise(F.lit(0.0)),
-            "adjacent_length_delta_mean": lambda: F.when(n >= 2, rounded(deltas / (n - 1), 4)).otherwise(F.lit(0.0)),
+            "adjacent_length_delta_mean": lambda: F.when(n >= 2, _rounded(deltas / (n - 1), 4)).otherwise(F.lit(0.0)),
             "extreme_sentence_ratio": lambda: _ratio(extreme, n),
             "unique_words": lambda: F.size(F.array_distinct(found)).cast("bigint"),
             "lexical_diversity": lambda: _ratio(F.size(F.array_distinct(found)), words),
@@ -90,8 +96,10 @@ def features(text: Column, names: list[str] | None = None) -> Column:
     plain = {"char_count": lambda: F.length(text).cast("bigint"), "paragraph_count": lambda: F.size(kept(F.split(text, BREAK))).cast("bigint")}
     if set(wanted) <= set(plain):
         return F.struct(*[plain[c]().alias(c) for c in wanted])
-    arrays = F.struct(F.transform(stat_sentences(text), lambda s: F.length(s)).alias("lengths"), F.regexp_extract_all(text, F.lit(WORD_RUN), F.lit(0)).alias("words"))
-    return _let(arrays, lambda x: F.struct(*[(plain | of(x))[c]().alias(c) for c in wanted]))
+    arrays = F.struct(F.transform(stat_sentences(text), lambda s: F.length(s).cast("bigint")).alias("lengths"), F.regexp_extract_all(text, F.lit(WORD_RUN), F.lit(0)).alias("words"))
+    total = lambda x: F.aggregate(x["lengths"], F.lit(0).cast("bigint"), lambda a, v: a + v)
+    # the total is made once too: it is asked for at every sentence
+    return _let(arrays, lambda x: _let(total(x), lambda t: F.struct(*[(plain | of(x, t))[c]().alias(c) for c in wanted])))
 
 
 FEATURES = [

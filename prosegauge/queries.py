@@ -355,15 +355,15 @@ def fuzzy_token_set(spark, sf_dir):
 BOTH = f"{SPLIT},\nboth_ AS (SELECT doc_id, paragraph_index, text FROM paragraphs UNION ALL SELECT doc_id, -1, coalesce(text, '') FROM documents)"
 
 
-def _features(spark, sf_dir) -> DataFrame:
+def _features(spark, sf_dir, columns: list[str]) -> DataFrame:
     whole = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.lit(-1).alias("paragraph_index"), F.coalesce("text", F.lit("")).alias("text"))
     rows = paragraphs(corpus(spark, sf_dir)).select("doc_id", "paragraph_index", "text").union(whole)
-    return rows.select("doc_id", "paragraph_index", S.features(F.col("text")).alias("f"))
+    return rows.select("doc_id", "paragraph_index", S.features(F.col("text"), columns).alias("f"))
 
 
 def _feature_query(name: str, doc: str, columns: list[str]) -> None:
     def run(spark, sf_dir):
-        return _features(spark, sf_dir).select("doc_id", "paragraph_index", *[F.col(f"f.{c}").alias(c) for c in columns])
+        return _features(spark, sf_dir, columns).select("doc_id", "paragraph_index", *[F.col(f"f.{c}").alias(c) for c in columns])
 
     run.__name__, run.__doc__ = name, doc
     query(f"WITH {BOTH},\n{features_sql('both_')} SELECT doc_id, paragraph_index, {', '.join(columns)} FROM features")(run)

@@ -16,6 +16,8 @@ from prosegauge.queries import ORACLE_SQL, QUERIES
 from prosegauge.streaming import documents as streaming
 
 DATA = "/root/testdata/sf0.001"
+#: Queries that have features of whole documents, long sentences included.
+LONG = ["connector_density"]
 
 
 def rows(df: pd.DataFrame) -> list[tuple]:
@@ -39,6 +41,23 @@ def test_query(spark, duck, name):
         assert rows(got) == rows(duck.sql(ORACLE_SQL[name]).df())
 
 
+@pytest.fixture(scope="module")
+def long_documents(spark, tmp_path_factory):
+    """Documents with a sentence of over 46,340 characters, whose square is beyond an integer."""
+    path = tmp_path_factory.mktemp("long")
+    docs = [(1, "word, " * 10_000), (2, "受到首先，" * 10_000 + "。完")]
+    spark.createDataFrame(docs, "doc_id bigint, text string").coalesce(1).write.parquet(f"{path}/documents.parquet")
+    return path
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_sentences(spark, long_documents, name):
+    got = QUERIES[name](spark, str(long_documents)).toPandas()
+    with duckdb.connect() as c:
+        c.sql(f"CREATE VIEW documents AS SELECT * FROM '{long_documents}/documents.parquet/*.parquet'")
+        assert rows(got) == rows(c.sql(ORACLE_SQL[name]).df())
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())

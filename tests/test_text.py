@@ -97,6 +97,16 @@ def test_features(spark, texts):
         assert f.uniform_sentence_group_count == runs
 
 
+def test_features_of_long_sentences_and_many(spark):
+    texts = ["a" * 60_000 + "。" + "b" * 8 + "首先，被", "ab。" * 50_000, "。".join(["a" * 40_000] * 3 + ["b"] * 30_000)]
+    for t, f in zip(texts, column(spark, texts, lambda c: stats.features(c))):
+        lengths = [len(x) for x in t.split("。") if x]
+        n, total = len(lengths), sum(lengths)
+        assert f.sentence_lengths == lengths and f.sentence_count == n
+        assert abs(f.sentence_length_mean - total / n) < 0.0051 and abs(f.sentence_length_std - statistics.pstdev(lengths)) < 0.0051
+        assert abs(f.extreme_sentence_ratio - sum(2 * v * n <= total or 2 * v * n >= 3 * total for v in lengths) / n) < 0.000051
+
+
 def test_overlapping_connectors_count_each(spark):
     assert column(spark, ["因此外"], stats.connectors) == [2]
 
