@@ -58,6 +58,11 @@ def test_long_sentences(spark, long_documents, name):
         assert rows(got) == rows(c.sql(ORACLE_SQL[name]).df())
 
 
+def test_full_reports_of_long_sentences(spark, long_documents):
+    found = {r.doc_id: json.loads(r.json) for r in QUERIES["full_reports"](spark, str(long_documents)).collect()}
+    assert set(found) == {1, 2} and found[1]["basic_info"]["total_chars"] > 60_000 and found[1]["statistics"]["sentence_length_cv"] > 1
+
+
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(QUERIES) <= set(entry.queries()) and set(ORACLE_SQL) <= set(entry.oracle_sql())
