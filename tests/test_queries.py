@@ -17,7 +17,7 @@ from prosegauge.streaming import documents as streaming
 
 DATA = "/root/testdata/sf0.001"
 #: Queries that have features of whole documents, long sentences included.
-LONG = ["connector_density", "enumeration_meta_counts", "lexical_diversity", "passive_ratio", "punctuation_density", "sentence_length_stats"]
+LONG = ["connector_density", "enumeration_meta_counts", "lexical_diversity", "passive_ratio", "punctuation_density", "sentence_length_stats", "uniform_groups"]
 
 
 def rows(df: pd.DataFrame) -> list[tuple]:
