@@ -1,13 +1,18 @@
 """Near-dedup by similarity: two texts are linked if the Jaccard similarity of their five-word shingles is at least ``SIMILARITY``.
 
-A text is the set of its shingles' hashes, in one order: those that a sample of the documents shows to be frequent come last, else
-by hash. Sets of a similarity of t or more share one of the first n - ceil(t n) + 1 hashes of each (the prefix), whatever the order,
-so the pairs that meet at a hash of both prefixes hold every link; a passage that many documents share is in few prefixes.
+A text is the set of its shingles' hashes. Covering LSH over the SimHashes of the sets (``simhash.links``) comes first: it names nodes
+(distinct sets) that differ in at most ``RADIUS`` of the first 64 bits, their exact similarity decides, and the links are joined to
+components. A similarity of 0.8 leaves about 10 of 64 bits apart, for which no table is selective; links beyond the radius, and those
+inside it that the forest of the LSH leaves out, are found by prefixes among nodes of different components.
 
-1. Every hash that several nodes (distinct sets) have names one of them: the one that has the least of its set before the hash, as an
+Sets are in one order: shingles that a sample of the documents shows to be frequent come last, else by hash. Sets of a similarity of
+t or more share one of the first n - ceil(t n) + 1 hashes of each (the prefix), whatever the order, so the pairs that meet at a hash
+of both prefixes hold every link; a passage that many documents share is in few prefixes.
+
+1. Every hash that several nodes have names one of them: the one that has the least of its set before the hash, as an
    original has before what all its copies share. A node is a candidate with each node that its hashes name: at most one pair for
-   each hash of a prefix, so a large group of near copies joins in linear time.
-2. Candidates are decided by the exact similarity of the two whole sets, and the links are joined to components.
+   each hash of a prefix, so a large group of near copies joins in linear time. Pairs of one component by the LSH are left out.
+2. Candidates are decided by the exact similarity of the two whole sets, and all links are joined to components.
 3. A hash whose nodes are of several components is not settled: all its pairs of different components are candidates too, by a join
    of the hash with itself whose condition has all that is known of a pair. So no link is missed.
 
@@ -34,8 +39,11 @@ from pyspark.sql import functions as F
 from .common import LOWER, NON_SPACE, RangeHash, among, fresh, gathered, mixed, slices, stored, tidy, utf8, words
 from .components import components
 from .simhash import fingerprint, signed, xxhash
+from .simhash import links as covering_links
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: Differing bits of the first 64 up to which the covering LSH finds a pair, in 2 ** (RADIUS + 1) - 1 tables.
+RADIUS = 5
 #: Differing bits of 128 beyond which a pair is no candidate, where both sets have FEW shingles or more (bits of fewer say little).
 FAR, FEW = 40, 32
 #: Frequent shingles are those that so many documents of a sample have: at most the share of the documents, and the bytes.
@@ -198,6 +206,24 @@ def decided(pairs: DataFrame, read: DataFrame, marked: DataFrame, shingle: int,
     return stored(gathered(both.select("a", "b", "x", "y").mapInArrow(tidy(_decide(similarity)), "a bigint, b bigint"), read), "similar-links")
 
 
+def covered(known: DataFrame, source: DataFrame, radius: int) -> DataFrame:
+    """a, b: nodes whose first SimHashes are within the radius, by covering LSH; the least node of a SimHash stands for all that have it."""
+    least = stored(gathered(known.groupBy("one").agg(F.min("node").alias("least")), source), "similar-sketches")
+    same = known.join(least, "one").where("node <> least").select(F.col("least").alias("a"), "node")
+    found = covering_links(least.select(F.col("one").alias("fp")), radius)
+    of = lambda c, to: least.select(F.col("one").alias(c), F.col("least").alias(to))
+    across = found.join(of("a", "x"), "a").join(of("b", "y"), "b").select("x", "y")
+    return same.union(across).toDF("x", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+
+
+def likely(pairs: DataFrame, known: DataFrame, similarity: float) -> DataFrame:
+    """The pairs that their sizes and SimHashes leave possible."""
+    sketch = F.struct("n", "one", "two")
+    both = pairs.join(known.select(F.col("node").alias("b"), sketch.alias("y")), "b").join(known.select(F.col("node").alias("a"), sketch.alias("x")), "a")
+    sizes = F.least("x.n", "y.n") >= similarity * F.greatest("x.n", "y.n") - 1e-6
+    return both.where(sizes & near("x", "y")).select("a", "b")
+
+
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
     """doc, mark, component_id and its_mark (the least doc and mark reachable over links) of each document."""
     read = _documents(docs, key, text)
@@ -205,6 +231,9 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     marked = stored(with_signature(read, frequent, shingle, similarity), "similar-docs")
     firsts = marked.where("lead IS NOT NULL")
     known = stored(gathered(firsts.select("node", "n", "one", "two").dropDuplicates(["node"]), docs), "similar-nodes")
+    close = stored(gathered(likely(covered(known, docs, RADIUS), known, similarity), docs), "similar-close")
+    links = decided(close, read, marked, shingle, similarity)
+    group = components(links, docs, "similar-covered")
     places = F.transform("lead", lambda h, i: F.struct(h.alias("hash"), F.get("lead", i - 1).alias("before"), (F.col("n") - i).alias("left")))
     entries = firsts.select(F.explode(places).alias("e"), "node", "n").select("e.*", "node", "n")
     top = F.max(F.struct((F.col("left") / F.col("n")).alias("share"), F.col("node").alias("pivot"), F.col("left").alias("pivot_left"), F.col("n").alias("pivot_n"))).alias("top")
@@ -213,10 +242,10 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", shingle: in
     members = stored(gathered(entries.join(small(named), "hash"), docs), "similar-members")
     met = members.where((F.col("node") != F.col("pivot")) & enough(F.col("n"), F.col("pivot_n"), F.col("left"), F.col("pivot_left"), similarity))
     met = met.select(F.least("node", "pivot").alias("a"), F.greatest("node", "pivot").alias("b")).distinct()
-    sketch = F.struct("n", "one", "two")
-    met = met.join(known.select(F.col("node").alias("b"), sketch.alias("y")), "b").join(known.select(F.col("node").alias("a"), sketch.alias("x")), "a")
-    pairs = stored(gathered(met.where(near("x", "y")).select("a", "b"), docs), "similar-pairs")
-    links = decided(pairs, read, marked, shingle, similarity)
+    of = lambda c, to: group.select(F.col("node").alias(c), F.col("component").alias(to))
+    met = met.join(of("a", "c"), "a", "left").join(of("b", "d"), "b", "left").where(F.coalesce("c", "a") != F.coalesce("d", "b")).select("a", "b")
+    pairs = stored(gathered(likely(met, known, similarity), docs), "similar-pairs")
+    links, pairs = links.union(decided(pairs, read, marked, shingle, similarity)), pairs.union(close)
     joined = components(links, docs, "similar-groups")
 
     group = joined.select(F.col("node").alias("of"), "component")

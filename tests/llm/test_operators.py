@@ -646,6 +646,24 @@ def test_near_duplicates_are_those_of_exact_similarity(spark, monkeypatch):
     assert 100 < len(set(want.values())) < len(docs) - 100
 
 
+def test_near_copies_are_linked_by_covering_lsh(spark, monkeypatch):
+    rng = random.Random(5)
+    docs = []
+    for g in range(30):
+        w = [f"w{rng.randrange(3000)}" for _ in range(300)]
+        docs += [(10 * g + c, " ".join(w[: 300 - c])) for c in range(4)] + [(10 * g + 5, " ".join(w[:270] + w[:30]))]
+    sets = {d: simhash_similar.shingles_of(*simhash_similar.utf8(pa.array([t])), 5)[0] for d, t in docs}
+    one = {d: simhash_similar.fingerprint(x) for d, x in sets.items()}
+    want = {d: d for d in sets}
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if (one[a] ^ one[b]).bit_count() <= simhash_similar.RADIUS and simhash_similar.jaccard(sets[a], sets[b]) >= 0.8:
+            want = {d: min(want[a], want[b]) if x in (want[a], want[b]) else x for d, x in want.items()}
+    # no candidate comes from prefixes
+    monkeypatch.setattr(simhash_similar, "enough", lambda *x: F.lit(False))
+    assert {r.doc: r.component_id for r in simhash_similar.groups(frame(spark, docs)).collect()} == want
+    assert 30 <= len(set(want.values())) < 90
+
+
 def test_components(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 102), (102, 101), (7, 7)], "a bigint, b bigint")
     got = {r.node: r.component for r in components.components(edges, edges).collect()}
