@@ -28,6 +28,16 @@ def connectors(text: Column) -> Column:
     return _sum([occurrences(text, c) for c in CONNECTORS])
 
 
+def _in_runs(found: Column, count) -> Column:
+    """What is counted in the runs of Chinese characters alone; words of nothing else are in no other place, and the runs are short where a text has few."""
+    return _let(F.array_join(found, "\n"), count)
+
+
+def passives(text: Column, found: Column) -> Column:
+    words = [p for p in PASSIVE if all("\u4e00" <= c <= "\u9fff" for c in p)]
+    return _in_runs(found, lambda runs: _sum([occurrences(runs, w) for w in words])) + matches(text, [p for p in PASSIVE if p not in words])
+
+
 def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
@@ -82,8 +92,8 @@ def features(text: Column, names: list[str] | None = None) -> Column:
             "extreme_sentence_ratio": lambda: _ratio(extreme, n),
             "unique_words": lambda: F.size(F.array_distinct(found)).cast("bigint"),
             "lexical_diversity": lambda: _ratio(F.size(F.array_distinct(found)), words),
-            "connector_density": lambda: F.when(F.length(text) > 0, rounded(searched(connectors(text)) / F.length(text) * 100, 4)).otherwise(F.lit(0.0)),
-            "passive_ratio": lambda: _ratio(searched(matches(text, PASSIVE)), n),
+            "connector_density": lambda: F.when(F.length(text) > 0, rounded(searched(_in_runs(found, connectors)) / F.length(text) * 100, 4)).otherwise(F.lit(0.0)),
+            "passive_ratio": lambda: _ratio(searched(passives(text, found)), n),
             "comma_density": lambda: _ratio(occurrences(text, "，") + occurrences(text, ","), n),
             "dash_density": lambda: _ratio(searched(matches(text, DASH)), n),
             "three_part_enumeration_count": lambda: searched(matches(text, THREE_PART)),

@@ -107,6 +107,26 @@ def test_features_of_long_sentences_and_many(spark):
         assert abs(f.extreme_sentence_ratio - sum(2 * v * n <= total or 2 * v * n >= 3 * total for v in lengths) / n) < 0.000051
 
 
+@settings(max_examples=12, deadline=None)
+@given(st.lists(st.text(alphabet="a，\n 首先但是因此外被受到由完成", max_size=60), min_size=1, max_size=30))
+def test_connectors_and_passives_beside_other_characters(spark, texts):
+    assert all(re.fullmatch("[一-鿿]+", c) for c in lexicon.CONNECTORS)
+    for t, f in zip(texts, column(spark, texts, lambda c: stats.features(c))):
+        n = len([x for x in re.split(r"[。！？!?\n]+", t) if x.strip()])
+        assert abs(f.connector_density - (sum(t.count(c) for c in lexicon.CONNECTORS) / len(t) * 100 if t else 0)) < 0.000051
+        assert abs(f.passive_ratio - (sum(len(re.findall(p, t)) for p in lexicon.PASSIVE) / n if n else 0)) < 0.000051
+
+
+@pytest.mark.parametrize("name", ["connector_density", "passive_ratio"])
+def test_words_are_looked_for_in_chinese_runs_only(spark, monkeypatch, name):
+    searched = []
+    monkeypatch.setattr(stats, "occurrences", lambda text, word: searched.append(str(text)) or F.lit(0).cast("bigint"))
+    monkeypatch.setattr(stats, "_in_runs", lambda found, count: count(F.lit("the runs")), raising=False)
+    stats.features(F.col("whole"), [name])
+    words = {"connector_density": lexicon.CONNECTORS, "passive_ratio": lexicon.PASSIVE[:4]}[name]
+    assert len(searched) == len(words) and not any("whole" in x for x in searched)
+
+
 def test_overlapping_connectors_count_each(spark):
     assert column(spark, ["因此外"], stats.connectors) == [2]
 
